@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import cooccur, seen, setsim, users
+from lodestrata.llm import cooccur, encode, leak, seen, setsim, users
 from lodestrata.sources.tables import table
 
 
@@ -40,8 +40,26 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return setsim.similar_pairs(docs, id="id", fields=("follower", "following"), threshold=0.7, least=4)
 
 
+def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every page."""
+    return encode.encode(table(spark, folder, "documents"), id="doc_id", text="text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "eval_item")
+    return leak.leaks(docs, items, doc="doc_id", item="item_id", text="text")
+
+
+def p8_reparameterised(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold an item's passage with other numbers, names or units."""
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "eval_item")
+    return leak.reparameterised(docs, items, doc="doc_id", item="item_id", text="text")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_scores": p2_scores, "p4_found": p4_found, "p4_error_rate": p4_error_rate, "p5_found": p5_found,
+    "p7_ids": p7_ids, "p8_found": p8_found, "p8_reparameterised": p8_reparameterised,
 }
 
 _USERS = """
