@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm import cooccur, encode, leak, seen, setsim, users
+from lodestrata.llm import cooccur, encode, leak, seen, setsim, stuffing, users
 from lodestrata.sources.tables import table
 
 
@@ -57,9 +57,20 @@ def p8_reparameterised(spark: SparkSession, folder: str) -> DataFrame:
     return leak.reparameterised(docs, items, doc="doc_id", item="item_id", text="text")
 
 
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of keywords, links, products or tags in place of sentences."""
+    return stuffing.stuffed_pages(table(spark, folder, "documents"), id="doc_id", text="text")
+
+
+def p9_words(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of each page, those in sentences and those in repetition."""
+    return stuffing.page_words(table(spark, folder, "documents"), id="doc_id", text="text")
+
+
 QUERIES = {
     "p2_found": p2_found, "p2_scores": p2_scores, "p4_found": p4_found, "p4_error_rate": p4_error_rate, "p5_found": p5_found,
     "p7_ids": p7_ids, "p8_found": p8_found, "p8_reparameterised": p8_reparameterised,
+    "p9_found": p9_found, "p9_words": p9_words,
 }
 
 _USERS = """
