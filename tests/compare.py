@@ -12,6 +12,11 @@ TABLES = """region nation customer supplier part orders lineitem events document
 follower_edge entry_log manifest_modify sst_file sst_record eval_item page_label""".split()
 
 
+TYPES = {
+    "string": "VARCHAR", "int": "INTEGER", "binary": "BLOB", "array<int>": "INTEGER[]", "array<string>": "VARCHAR[]",
+}
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -40,6 +45,13 @@ def compare(spark, con, name, query, sql, folder) -> str:
     cols = [d[0] for d in res.description]
     if sorted(cols) != names:
         return f"columns {got.columns} against {cols}"
+    types = dict(got.dtypes)
+    other = {d[0]: str(d[1]) for d in con.execute("describe " + sql).fetchall()}
+    wrong = {c: (types[c], other[c]) for c in names if TYPES.get(types[c], types[c]).upper() != other[c]}
+    if wrong:
+        return f"types {wrong}"
+    con.execute(sql)
+    res = con
     a = sorted(tuple(plain(r[c]) for c in names) for r in got.collect())
     b = sorted(tuple(plain(r[cols.index(c)]) for c in names) for r in res.fetchall())
     if a == b:
@@ -58,8 +70,11 @@ if __name__ == "__main__":
     oracle, all_ = e.oracle_sql(), e.queries()
     for n in names or all_:
         t = time.time()
-        if n in oracle:
-            why = compare(spark, con, n, all_[n], oracle[n], folder)
-        else:
-            why = f"{all_[n](spark, folder).count()} rows, no SQL"
+        try:
+            if n in oracle:
+                why = compare(spark, con, n, all_[n], oracle[n], folder)
+            else:
+                why = f"{all_[n](spark, folder).count()} rows, no SQL"
+        except Exception as e:
+            why = f"{type(e).__name__}: {str(e)[:600]}"
         print(f"{n}: {why or 'ok'} ({time.time() - t:.1f} s)", flush=True)
