@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestrata.session import ship
+
 
 def is_live(now: Column | int, is_delete: str = "is_delete", expires_at: str = "expires_at") -> Column:
     """Neither deleted nor expired; ``expires_at`` 0 or null never expires, ``= now`` is expired."""
@@ -126,7 +128,12 @@ def crc32c_bytes(values: list[bytes | None]) -> list[int | None]:
 
 
 @F.pandas_udf(T.LongType())
-def crc32c(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """CRC-32C of a binary column; Spark's crc32 has another polynomial."""
+def _crc32c(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for s in batches:
         yield pd.Series(crc32c_bytes([None if v is None else bytes(v) for v in s]), dtype="Int64")
+
+
+def crc32c(value: Column) -> Column:
+    """CRC-32C of a binary column; Spark's crc32 has another polynomial."""
+    ship(SparkSession.active())
+    return _crc32c(value)

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.operators.skew import BROADCAST_ROWS, lookup_join
+from lodestrata.session import map_arrow
 
 #: Bytes a record takes besides key and value: table, number, expiry, meta, lengths.
 RECORD_OVERHEAD = 29
@@ -105,7 +106,7 @@ def merge_runs(records: DataFrame, target_bytes: int = 128 << 20, ranges: int |
     ranged = ranged.sortWithinPartitions(*by)
     names = ranged.columns
     schema = T.StructType([*ranged.schema.fields, T.StructField("range_no", T.IntegerType()), T.StructField("roll_no", T.IntegerType())])
-    out = ranged.mapInArrow(_roll(target_bytes, names.index("level"), names.index("n_bytes")), schema)
+    out = map_arrow(ranged, _roll(target_bytes, names.index("level"), names.index("n_bytes")), schema)
     return out.withColumn("level", F.when(F.col("level") >= 0, F.col("level")))
 
 

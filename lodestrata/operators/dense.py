@@ -20,6 +20,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import map_arrow
+
 #: Rows gathered before they are scattered; bounds a task's memory.
 CHUNK_ROWS = 1 << 18
 
@@ -129,8 +131,9 @@ def first_k(rows: DataFrame, *, key: str, item: str, seq: str, k: int) -> DataFr
         F.trim(F.col(f"`{key}`")).alias("key"), F.trim(F.col(f"`{item}`")).alias("item"),
         F.col(f"`{seq}`").cast("long").alias("seq"), F.lit(1).cast("long").alias("n"),
     ).where("length(key) > 0 and length(item) > 0 and seq is not null")
-    blocks = src.mapInArrow(_merge_splits(k), schema)
-    summed = blocks.repartition("key").sortWithinPartitions("key").mapInArrow(_place_rows(k), schema + ", place int, n_rows bigint")
+    blocks = map_arrow(src, _merge_splits(k), schema)
+    by_key = blocks.repartition("key").sortWithinPartitions("key")
+    summed = map_arrow(by_key, _place_rows(k), schema + ", place int, n_rows bigint")
     return summed.select(
         F.col("key").alias(key), F.col("item").alias(item), F.col("seq").alias(seq), "place", "n_rows",
     )

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import ship
+
 
 def bloom_bits_per_key(n: int, fpp: float) -> int:
     """Bits a key needs for the false-positive rate."""
@@ -52,6 +54,7 @@ def bloom_probe(members: DataFrame, probes: DataFrame, key: str, fpp: float = 0.
 
     Both sides are co-partitioned by key hash, each part builds and probes its own filter.
     """
+    ship(members.sparkSession)
     bits = bloom_bits_per_key(1000, fpp)
     h = F.xxhash64(F.col(key))
     m = members.where(F.col(key).isNotNull()).select(h.alias("h")).distinct().groupBy(F.pmod("h", F.lit(64)).alias("part"))
@@ -175,5 +178,6 @@ def cache_trace(df: DataFrame, shard: str, order: str, key: str, policy: str, ca
         hits = _simulate(pdf.sort_values("o", kind="stable")["k"], cache)
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "accesses": [len(hits)], "hits": [sum(hits)]})
 
+    ship(df.sparkSession)
     src = df.select(F.col(shard).alias("shard"), F.col(order).alias("o"), F.col(key).alias("k"))
     return src.groupBy("shard").applyInPandas(run, f"shard {kind}, accesses bigint, hits bigint")

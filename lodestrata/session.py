@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import os
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: str | None = None
+_SHIPPED: set[str] = set()
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -56,9 +59,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def as_local_path(path: str) -> str:
-    """A ``file:`` URI as a plain path; other paths unchanged."""
-    for prefix in ("file://", "file:"):
-        if path.startswith(prefix):
-            return os.path.normpath("/" + path[len(prefix):].lstrip("/"))
-    return path
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A file of any file system Spark knows."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the executors' Python workers, once per application.
+
+    Workers need not have it installed; the archive lies in the shared folder.
+    """
+    sc = spark.sparkContext
+    root = Path(__file__).parent
+    if sc.applicationId in _SHIPPED or not root.is_dir():
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path(root.name) / f.relative_to(root))
+    path = scratch(spark, root.name) + ".zip"
+    write_bytes(spark, path, packed.getvalue())
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` of a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
