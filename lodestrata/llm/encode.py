@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.lexicon import Lexicon, build
-from lodestrata.session import scratch
+from lodestrata.session import map_arrow, scratch, write_bytes
 
 #: Splits text before the merges; the published pattern of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -123,15 +123,9 @@ def encode(
     words = [r[0].encode() for r in frequent_words(docs, text, lexicon_words).select("word").collect()]
     built = build(words, [merge(w) for w in words])
     path = scratch(spark, "lexicon") + ".bin"
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
-    try:
-        stream.write(bytearray(built))
-    finally:
-        stream.close()
+    write_bytes(spark, path, built)
     spark.sparkContext.addFile(path)
     out_type = docs.schema[id].dataType.simpleString()
     src = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    out = src.mapInArrow(_encoder(vocabulary, os.path.basename(path)), f"id {out_type}, ids array<int>")
+    out = map_arrow(src, _encoder(vocabulary, os.path.basename(path)), f"id {out_type}, ids array<int>")
     return out.withColumnRenamed("id", id)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import cut
+from lodestrata.session import cut, map_arrow
 
 #: Windows of items whose hashes are broadcast at a time (8 MB of template hashes).
 BLOCK_WINDOWS = 1 << 20
@@ -150,7 +150,7 @@ def _matches(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: st
     names = sc.broadcast(_names(items, text))
     shape = "template bigint, words array<string>"
     of_items = items.where(F.col(f"`{item}`").isNotNull()).select(F.col(f"`{item}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    queries = cut(of_items.mapInArrow(_scan(window, names, None, most_slots), f"id {item_type}, {shape}").distinct())
+    queries = cut(map_arrow(of_items, _scan(window, names, None, most_slots), f"id {item_type}, {shape}").distinct())
     blocks = max(1, -(-queries.count() // BLOCK_WINDOWS))
     src = docs.where(F.col(f"`{doc}`").isNotNull()).select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").alias("text"))
     found = None
@@ -159,7 +159,7 @@ def _matches(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: st
         hashes = np.unique(np.array([r[0] for r in mine.select("template").distinct().collect()], np.int64).view(np.uint64))
         if not len(hashes):
             continue
-        hits = src.mapInArrow(_scan(window, names, sc.broadcast(hashes), most_slots), f"id {doc_type}, {shape}")
+        hits = map_arrow(src, _scan(window, names, sc.broadcast(hashes), most_slots), f"id {doc_type}, {shape}")
         hits = hits.select(F.col("id").alias("doc"), "template", F.col("words").alias("dw"))
         part = hits.join(mine.select(F.col("id").alias("item"), "template", F.col("words").alias("iw")), "template")
         found = part if found is None else found.unionByName(part)

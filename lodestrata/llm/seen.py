@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.skew import lookup_join
-from lodestrata.session import scratch
+from lodestrata.session import map_arrow, scratch
 
 
 def _probe_shard(bits: int, seal: int, seal_most: int):
@@ -67,7 +67,7 @@ def _verdicts(rows: DataFrame, key: str, order: str, window: int, audit_keys: in
     hashed = firsts.withColumns({"h1": F.xxhash64("key"), "h2": F.xxhash64(F.lit(7919), F.col("key"))})
     sharded = hashed.repartition("h1").sortWithinPartitions("win")
     schema = "key binary, win bigint, ats array<bigint>, audit boolean, seen boolean"
-    return sharded.select("key", "win", "ats", "audit", "h1", "h2").mapInArrow(_probe_shard(bits, seal, seal_most), schema)
+    return map_arrow(sharded.select("key", "win", "ats", "audit", "h1", "h2"), _probe_shard(bits, seal, seal_most), schema)
 
 
 def _written(rows: DataFrame, key: str, order: str, *, window: int = 1 << 16, audit_keys: int = 0, bits: int = 16,

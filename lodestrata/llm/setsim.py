@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.skew import lookup_join
-from lodestrata.session import scratch
+from lodestrata.session import map_arrow, scratch
 
 #: Members of a class in one block of the expansion.
 BLOCK = 1024
@@ -130,9 +130,8 @@ def similar_pairs(
     )
     schema = "cls binary, items array<string>, n int, n_blocks int, shared boolean, keys array<bigint>, prefix array<bigint>"
     with_no = F.col("field_no").alias("f")
-    signed.select("field_no", with_no, "cls", "items", "n", "n_blocks", "shared", "hashes").mapInArrow(
-        _sign(bands, rows, threshold, popular), "f int, " + schema
-    ).write.parquet(f"{path}/signed")
+    signed = signed.select("field_no", with_no, "cls", "items", "n", "n_blocks", "shared", "hashes")
+    map_arrow(signed, _sign(bands, rows, threshold, popular), "f int, " + schema).write.parquet(f"{path}/signed")
     signed = spark.read.parquet(f"{path}/signed")
 
     banded = signed.select("cls", "n", F.explode("keys").alias("key"))

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.pieces import expanded, slices
+from lodestrata.session import map_arrow
 
 LAG_WINDOW, LAGS, REGULAR = 48, 12, 0.5
 REACH = 6
@@ -267,7 +268,7 @@ def page_words(docs: DataFrame, *, id: str, text: str) -> DataFrame:
     """
     kind = docs.schema[id].dataType.simpleString()
     src = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    return src.mapInArrow(_measure, f"id {kind}, n_words bigint, n_sentence bigint, n_repeated bigint").withColumnRenamed("id", id)
+    return map_arrow(src, _measure, f"id {kind}, n_words bigint, n_sentence bigint, n_repeated bigint").withColumnRenamed("id", id)
 
 
 def stuffed_pages(docs: DataFrame, *, id: str, text: str, share: float = 0.25, least_words: int = LEAST_WORDS) -> DataFrame:
