@@ -98,7 +98,7 @@ def parse_key(internal: Column) -> Column:
 
 def next_power_of_two(x: Column) -> Column:
     """Smallest power of two that is at least x (x >= 1)."""
-    return F.when(x <= 1, F.lit(1)).otherwise(F.shiftleft(F.lit(1).cast("long"), F.length(F.bin(x - 1)))).cast("long")
+    return F.when(x <= 1, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.length(F.bin(x - 1)))).cast("long")
 
 
 def _crc_table() -> np.ndarray:
