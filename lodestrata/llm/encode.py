@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,14 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.lexicon import Lexicon, build
+from lodestrata.llm.pieces import WHITE, expanded, gather, slices
 from lodestrata.session import map_arrow, scratch, write_bytes
 
 #: Splits text before the merges; the published pattern of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Folder of the vocabularies; an argument of ``encode`` overrides it.
 VOCABULARIES = "/opt/tokenizers"
-#: Characters of text that are cut into words at a time.
-SLICE_CHARS = 1 << 20
+#: White space and what follows it up to the next: words never cross its ends.
+_CHUNK = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+_WORDS = regex.compile(PATTERN).findall
 
 _MERGERS: dict[str, object] = {}
 _LEXICONS: dict[str, Lexicon] = {}
@@ -56,51 +59,38 @@ def _encoder(vocabulary: str, lexicon_file: str):
         if lexicon_file not in _LEXICONS:
             _LEXICONS.clear()
             _LEXICONS[lexicon_file] = Lexicon(SparkFiles.get(lexicon_file))
-        lexicon, words_of = _LEXICONS[lexicon_file], regex.compile(PATTERN).findall
+        lexicon = _LEXICONS[lexicon_file]
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            ends = np.cumsum([len(t or "") + 1 for t in texts])
-            a = 0
-            while a < len(texts):
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_CHARS)))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), _ids([words_of(t) if t else [] for t in texts[a:b]], lexicon, merge)], names=["id", "ids"]
-                )
-                a = b
+            for a, b in slices(texts):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), ids_of(texts[a:b], lexicon, merge)], names=["id", "ids"])
 
     return run
 
 
-def _ids(words: list[list[str]], lexicon: Lexicon, merge) -> pa.ListArray:
-    """Token ids of texts given as words."""
-    per_text = np.fromiter(map(len, words), np.int64, len(words))
-    # each distinct word once: its ordinal, or its own merge
-    coded = pa.array([w for ws in words for w in ws], pa.large_string()).dictionary_encode()
-    distinct = coded.dictionary
-    if not len(distinct):
-        return pa.ListArray.from_arrays(np.zeros(len(words) + 1, np.int32), pa.array([], pa.int32()))
-    _, offsets, data = distinct.buffers()
-    offsets = np.frombuffer(offsets, np.int64)[distinct.offset:distinct.offset + len(distinct) + 1]
-    data = np.frombuffer(data, np.uint8)
-    ordinal = lexicon.ordinals(data, offsets)
-    known = ordinal >= 0
+def ids_of(texts: list[str | None], lexicon: Lexicon, merge) -> pa.ListArray:
+    """Token ids of each text: every distinct word walks the lexicon once, or is merged once."""
+    per_text, code, distinct = expanded(texts, _CHUNK, _WORDS)
     start, length = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
-    start[known] = lexicon.offsets[ordinal[known]]
-    length[known] = lexicon.offsets[ordinal[known] + 1] - start[known]
-    table, size = [np.asarray(lexicon.ids)], len(lexicon.ids)
-    raw = data.tobytes()
-    for i in np.flatnonzero(~known).tolist():
-        merged = merge(raw[offsets[i]:offsets[i + 1]])
-        start[i], length[i] = size, len(merged)
-        size += len(merged)
-        table.append(np.array(merged, np.int64))
-    table = np.concatenate(table)
-    code = coded.indices.to_numpy()
-    counts = length[code]
-    word_ends = np.cumsum(counts)
-    flat = np.arange(word_ends[-1]) + np.repeat(start[code] - (word_ends - counts), counts)
-    text_ends = np.r_[0, word_ends][np.r_[0, np.cumsum(per_text)]]
-    return pa.ListArray.from_arrays(text_ends.astype(np.int32), pa.array(table[flat].astype(np.int32)))
+    table = [np.asarray(lexicon.ids)]
+    if len(distinct):
+        _, offsets, data = distinct.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[distinct.offset:distinct.offset + len(distinct) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        ordinal = lexicon.ordinals(data, offsets)
+        known = ordinal >= 0
+        start[known] = lexicon.offsets[ordinal[known]]
+        length[known] = lexicon.offsets[ordinal[known] + 1] - start[known]
+        size, raw = len(table[0]), data.tobytes()
+        for i in np.flatnonzero(~known).tolist():
+            merged = merge(raw[offsets[i]:offsets[i + 1]])
+            start[i], length[i] = size, len(merged)
+            size += len(merged)
+            table.append(np.array(merged, np.int64))
+    flat = np.concatenate(table)[gather(start, length, code)]
+    word_ends = np.r_[0, np.cumsum(length[code])]
+    text_ends = word_ends[np.r_[0, np.cumsum(per_text)]]
+    return pa.ListArray.from_arrays(text_ends.astype(np.int32), pa.array(flat.astype(np.int32)))
 
 
 def frequent_words(docs: DataFrame, text: str, most: int) -> DataFrame:
