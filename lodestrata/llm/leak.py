@@ -20,6 +20,7 @@ windows of documents leave the scan.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -30,13 +31,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.pieces import WHITE, expanded, slices
 from lodestrata.session import cut, map_arrow
 
 #: Windows of items whose hashes are broadcast at a time (8 MB of template hashes).
 BLOCK_WINDOWS = 1 << 20
 #: Names kept as placeholders; more are ordinary words. Bounds the list; no exact passage depends on it.
 MOST_NAMES = 100_000
-SLICE_CHARS = 1 << 20
 #: Words that stand for units (fixed values).
 UNITS = frozenset(
     "mm cm dm m km mg g kg t ml cl l s sec min h ms inch inches ft feet yard yards mile miles oz lb lbs pound pounds "
@@ -44,6 +45,8 @@ UNITS = frozenset(
     "second seconds minute minutes hour hours day days week weeks month months year years".split()
 )
 _FORMAT = regex.compile(r"\p{Cf}+")
+#: Runs without white space; normalisation and words never cross their ends.
+_CHUNK = re.compile(f"[^{WHITE}]+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _DIGIT = regex.compile(r"\p{N}")
 _U = np.uint64
@@ -79,24 +82,21 @@ def _rolled(codes: np.ndarray, window: int) -> np.ndarray:
         return (total ^ (total >> _U(29))) * _U(0xBF58476D1CE4E5B9)
 
 
-def _windows(words: list[list[str]], window: int, names: frozenset):
-    """(flat words, owner of each window, its start, template hash, number of slots)."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    flat = [w for ws in words for w in ws]
-    coded = pa.array(flat, pa.large_string()).dictionary_encode()
-    distinct = coded.dictionary.to_pylist()
-    slots = [slot_of(w, names) for w in distinct]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(s or "w" + w) for s, w in zip(slots, distinct, strict=True)), np.uint64, len(distinct))
-    code = coded.indices.to_numpy()
-    owner = np.repeat(np.arange(len(words)), lengths)
-    n = len(flat) - window + 1
+def _windows(texts: list[str | None], window: int, names: frozenset):
+    """(distinct words, code of each word, owner of each window, its start, template hash, number of slots)."""
+    per_text, code, distinct = expanded(texts, _CHUNK, words_of)
+    distinct = distinct.to_pylist()
+    owner = np.repeat(np.arange(len(texts)), per_text)
+    n = len(code) - window + 1
     if n <= 0:
         empty = np.empty(0, np.int64)
-        return flat, empty, empty, np.empty(0, np.uint64), empty
+        return distinct, code, empty, empty, np.empty(0, np.uint64), empty
+    slots = [slot_of(w, names) for w in distinct]
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(s or "w" + w) for s, w in zip(slots, distinct, strict=True)), np.uint64, len(distinct))
     inside = np.flatnonzero(owner[:n] == owner[window - 1:])
     is_slot = np.r_[0, np.cumsum(np.fromiter((bool(s) for s in slots), np.int64, len(slots))[code])]
     n_slots = is_slot[window:] - is_slot[:n]
-    return flat, owner[inside], inside, _rolled(hashes[code], window)[inside], n_slots[inside]
+    return distinct, code, owner[inside], inside, _rolled(hashes[code], window)[inside], n_slots[inside]
 
 
 def _scan(window: int, names_bc, wanted_bc, most_slots: int):
@@ -109,11 +109,8 @@ def _scan(window: int, names_bc, wanted_bc, most_slots: int):
             sieve[wanted >> _U(42)] = True
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            ends = np.cumsum([len(t or "") + 1 for t in texts])
-            a = 0
-            while a < len(texts):
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE_CHARS)))
-                flat, owner, start, hashes, n_slots = _windows([words_of(t) for t in texts[a:b]], window, names)
+            for a, b in slices(texts):
+                words, code, owner, start, hashes, n_slots = _windows(texts[a:b], window, names)
                 keep = np.flatnonzero(n_slots <= most_slots)
                 if wanted is not None:
                     keep = keep[sieve[hashes[keep] >> _U(42)]]
@@ -124,11 +121,10 @@ def _scan(window: int, names_bc, wanted_bc, most_slots: int):
                         [
                             batch.column(0).slice(a, b - a).take(pa.array(owner[keep])),
                             pa.array(hashes[keep].view(np.int64)),
-                            pa.array([flat[s:s + window] for s in start[keep].tolist()], pa.list_(pa.string())),
+                            pa.array([[words[c] for c in code[s:s + window].tolist()] for s in start[keep].tolist()], pa.list_(pa.string())),
                         ],
                         names=["id", "template", "words"],
                     )
-                a = b
 
     return run
 
