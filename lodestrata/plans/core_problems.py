@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.operators.consolidate import consolidate
+from lodestrata.operators.consolidate import consolidate, run_metadata
 from lodestrata.operators.dense import first_k
 from lodestrata.operators.patches import live_tables
 from lodestrata.session import cut
@@ -27,6 +27,12 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return _merged(spark, folder).select("level", "table_id", "rec_no")
 
 
+def p3_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The consolidated files: key range, records and bytes of each."""
+    files = run_metadata(_merged(spark, folder))
+    return files.withColumns({"min_key": F.hex("min_key"), "max_key": F.hex("max_key")})
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """The first three different followers of each user."""
     edges = table(spark, folder, "follower_edge")
@@ -50,7 +56,7 @@ _LIVE = """
         and upper(trim(op)) in ('CREATE', '0', 'DELETE', '1'))
     where rn = 1 and made"""
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_found": p6_found, "p6_counts": p6_counts}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_files": p3_files, "p6_found": p6_found, "p6_counts": p6_counts}
 
 SQL = {
     "p1_found": _LIVE,
