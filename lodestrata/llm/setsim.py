@@ -9,7 +9,10 @@
    sets of similarity >= t share one of the first |A| - ceil(t|A|) + 1 ids in
    any common order, so with popular ids last in that order each crowded bucket
    falls into small ones, and no pair is lost or capped.
-4. Candidates are deduplicated and verified on the sets themselves.
+4. Each set carries a 128-bit map of its ids.  Bits of one map missing in the
+   other are ids missing there, which bounds the similarity from above; a
+   candidate whose bound is below the threshold is dropped inside the join.
+   The rest are deduplicated and verified on the sets themselves.
 5. Class pairs are expanded to pairs of records; the members of a large class
    are dealt over blocks, so no task holds a class.
 """
@@ -20,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.skew import lookup_join
@@ -77,14 +80,17 @@ def _sign(bands: int, rows: int, threshold: float, popular: dict[int, int], seed
             place = np.arange(len(values)) - np.repeat(starts, sizes)
             taken = order[place < np.repeat(prefix, sizes)]
             pre_ends = np.r_[0, np.cumsum(prefix)].astype(np.int32)
+            bit = mixed(base)
+            one, high = np.uint64(1) << (bit & np.uint64(63)), (bit >> np.uint64(6) & np.uint64(1)).astype(bool)
+            low_map, high_map = (np.bitwise_or.reduceat(np.where(m, one, np.uint64(0)), starts).view(np.int64) for m in (~high, high))
             keep = [i for i, c in enumerate(batch.schema.names) if c not in ("hashes", "field_no")]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i) for i in keep),
                     pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(keys.view(np.int64).ravel())),
-                    pa.ListArray.from_arrays(pre_ends, pa.array(values[taken])),
+                    pa.ListArray.from_arrays(pre_ends, pa.array(values[taken])), pa.array(low_map), pa.array(high_map),
                 ],
-                names=[*(batch.schema.names[i] for i in keep), "keys", "prefix"],
+                names=[*(batch.schema.names[i] for i in keep), "keys", "prefix", "m0", "m1"],
             )
 
     return run
@@ -92,7 +98,7 @@ def _sign(bands: int, rows: int, threshold: float, popular: dict[int, int], seed
 
 def similar_pairs(
     records: DataFrame, *, id: str, fields: tuple[str, ...], threshold: float, least: int = 1,
-    bands: int = 28, rows: int = 3, crowded: int = 256,
+    bands: int = 28, rows: int = 3, crowded: int = 64,
 ) -> DataFrame:
     """Pairs of records whose sets in a field have intersection / union >= threshold.
 
@@ -128,25 +134,31 @@ def similar_pairs(
         "field_no", "cls", "items", F.size("items").alias("n"), F.ceil(F.col("n_members") / F.lit(BLOCK)).cast("int").alias("n_blocks"),
         (F.col("n_members") > 1).alias("shared"), F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"),
     )
-    schema = "cls binary, items array<string>, n int, n_blocks int, shared boolean, keys array<bigint>, prefix array<bigint>"
+    schema = "cls binary, items array<string>, n int, n_blocks int, shared boolean, keys array<bigint>, prefix array<bigint>, m0 bigint, m1 bigint"
     with_no = F.col("field_no").alias("f")
     signed = signed.select("field_no", with_no, "cls", "items", "n", "n_blocks", "shared", "hashes")
     map_arrow(signed, _sign(bands, rows, threshold, popular), "f int, " + schema).write.parquet(f"{path}/signed")
     signed = spark.read.parquet(f"{path}/signed")
 
-    banded = signed.select("cls", "n", F.explode("keys").alias("key"))
-    full = banded.groupBy("key").count().where(F.col("count") > crowded).select("key", F.lit(True).alias("full"))
+    carried = ["cls", "n", "m0", "m1"]
+    full = signed.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > crowded).select("key", F.lit(True).alias("full"))
     full.write.parquet(f"{path}/full")
     full = spark.read.parquet(f"{path}/full")
     if full.isEmpty():
-        rows_ = banded.select("key", "cls", "n")
+        rows_ = signed.select(*carried, F.explode("keys").alias("key"))
     else:
-        tagged = lookup_join(signed.select("cls", "n", "prefix", F.explode("keys").alias("key")), full, "key", how="left", salt_on=["cls"])
+        tagged = lookup_join(signed.select(*carried, "prefix", F.explode("keys").alias("key")), full, "key", how="left", salt_on=["cls"])
         split = F.when(F.col("full"), F.transform("prefix", lambda p: F.xxhash64("key", p))).otherwise(F.array("key"))
-        rows_ = tagged.select("cls", "n", F.explode(split).alias("key"))
-    a = rows_.select("key", F.col("cls").alias("a"), F.col("n").alias("na"))
-    b = rows_.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"))
-    near = F.least("na", "nb") >= F.ceil(F.lit(threshold) * F.greatest("na", "nb") - F.lit(1e-9))
+        rows_ = tagged.select(*carried, F.explode(split).alias("key"))
+    a = rows_.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("m0").alias("a0"), F.col("m1").alias("a1"))
+    b = rows_.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("m0").alias("b0"), F.col("m1").alias("b1"))
+
+    def missing(x: str, y: str) -> Column:
+        """At least so many ids of x are not in y."""
+        return sum(F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in (0, 1))
+
+    most = F.least(F.col("na") - missing("a", "b"), F.col("nb") - missing("b", "a"))
+    near = most >= F.lit(threshold) * (F.col("na") + F.col("nb") - most) - F.lit(1e-9)
     candidates = a.join(b, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
     info = signed.select("cls", "f", "items", "n", "n_blocks")
