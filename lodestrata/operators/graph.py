@@ -30,9 +30,9 @@ def degrees(e: DataFrame, side: str) -> DataFrame:
 
 
 def mutual(e: DataFrame) -> DataFrame:
-    """(a, b), a < b, that follow each other: one shuffle on the unordered pair."""
+    """(a, b), a < b, that follow each other: distinct edges, one shuffle on the unordered pair."""
     pair = e.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
-    return pair.agg(F.countDistinct("src").alias("n")).where("n = 2").select("a", "b")
+    return pair.agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("a", "b")
 
 
 def two_hop(e: DataFrame) -> DataFrame:

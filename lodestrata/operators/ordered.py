@@ -37,6 +37,32 @@ def with_ordinal(df: DataFrame, by: Sequence[str], name: str = "ordinal", descen
     return ranged.join(F.broadcast(offsets), _PID).withColumn(name, place.cast("long")).drop(_PID, "__before")
 
 
+def group_ordinal(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "ordinal") -> DataFrame:
+    """``df`` with each row's place (from 1) within its group; a group of any size is spread over ranges."""
+    by = [F.col(c) for c in group]
+    ranged = _ranged(df, [*by, *order])
+    key = F.struct(*by)
+    parts = ranged.groupBy(_PID, key.alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    # per partition its first and last group with their rows; groups between are whole
+    ends = parts.groupBy(_PID).agg(
+        F.min(F.struct("g", "n")).alias("first"), F.max(F.struct("g", "n")).alias("last"),
+    ).collect()
+    carries, held, rows = [], None, 0
+    for r in sorted(ends, key=lambda r: r[_PID]):
+        before = rows if held is not None and held == r["first"]["g"] else 0
+        carries.append((r[_PID], before))
+        whole = r["first"]["g"] == r["last"]["g"]
+        held, rows = r["last"]["g"], r["last"]["n"] + (before if whole else 0)
+    if not carries:
+        return ranged.drop(_PID).withColumn(name, F.lit(0).cast("long"))
+    carried = df.sparkSession.createDataFrame(carries, f"{_PID} int, __carry bigint")
+    firsts = ranged.groupBy(_PID).agg(F.min(key).alias("__first"))
+    here = F.row_number().over(Window.partitionBy(_PID, *group).orderBy(*order))
+    both = ranged.withColumn("__here", here).join(F.broadcast(carried.join(firsts, _PID)), _PID)
+    place = F.col("__here") + F.when(key == F.col("__first"), F.col("__carry")).otherwise(0)
+    return both.withColumn(name, place.cast("long")).drop(_PID, "__here", "__carry", "__first")
+
+
 def last_before(df: DataFrame, group: Sequence[str], order: Sequence[str], value: Column, name: str) -> DataFrame:
     """``df`` with ``name``: the last non-null ``value`` up to the row, within ``group``, by ``order``.
 

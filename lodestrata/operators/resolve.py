@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.functions.kv import is_live
+from lodestrata.operators.ordered import group_ordinal
 
 
 def resolve(log: DataFrame, key: str = "key", seq: str = "seq", as_of: int | None = None) -> DataFrame:
@@ -38,12 +39,25 @@ def merge_runs(runs: Sequence[DataFrame], key: str = "key", seq: str = "seq") ->
     return resolve(merged, key, seq)
 
 
+def newest_places(log: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
+    """(key, seq) of each key's newest version; combined before the shuffle."""
+    return log.where(F.col(key).isNotNull() & F.col(seq).isNotNull()).groupBy(key).agg(F.max(seq).alias(seq))
+
+
 def shadowed(log: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
-    """Versions that a newer one of their key hides."""
-    newest = F.max(seq).over(Window.partitionBy(key))
-    return log.withColumn("__newest", newest).where(F.col(seq) < F.col("__newest")).drop("__newest")
+    """Versions that a newer one of their key hides.
+
+    An anti join on (key, seq): the versions of a crowded key are spread over all tasks.
+    """
+    return log.join(newest_places(log, key, seq), [key, seq], "left_anti")
+
+
+def with_newest(log: DataFrame, key: str = "key", seq: str = "seq", name: str = "is_newest") -> DataFrame:
+    """The log with a mark on each key's newest version, spread like ``shadowed``."""
+    mark = newest_places(log, key, seq).withColumn(name, F.lit(True))
+    return log.join(mark, [key, seq], "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
 def versions(log: DataFrame, key: str = "key", seq: str = "seq") -> DataFrame:
     """Every version with its ordinal within the key, newest first."""
-    return log.withColumn("ordinal", F.row_number().over(Window.partitionBy(key).orderBy(F.col(seq).desc())).cast("long"))
+    return group_ordinal(log, [key], [F.col(seq).desc()], "ordinal")

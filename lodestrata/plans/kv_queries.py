@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions import kv
 from lodestrata.operators import graph, levels, ordered, patches, read, sketch, values
-from lodestrata.operators.resolve import live_state, merge_runs, resolve, shadowed, versions
+from lodestrata.operators.resolve import live_state, merge_runs, resolve, shadowed, versions, with_newest
 from lodestrata.session import cut, scratch
 from lodestrata.sources.tables import table
 
@@ -270,8 +270,7 @@ def _gc_records(spark, folder) -> DataFrame:
     """Log records in value files of 1000 events each, with their state."""
     log = log_of(spark, folder).withColumn("fid", F.floor(F.col("seq") / 1000).cast("long"))
     log = log.withColumn("len", kv.record_size(F.octet_length("key"), F.octet_length("value"), F.col("expires_at")).cast("long"))
-    newest = F.max("seq").over(Window.partitionBy("key"))
-    return log.withColumn("dead", (F.col("seq") < newest) | ~kv.is_live(NOW))
+    return with_newest(log).withColumn("dead", ~F.col("is_newest") | ~kv.is_live(NOW))
 
 
 _GC = f"""{_LOG}, g as (select *, seq // 1000 as fid,

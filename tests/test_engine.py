@@ -69,6 +69,19 @@ def test_ordered(spark):
     assert before == dict(zip(ks, [None, *ks[:-1]], strict=True))
 
 
+def test_group_ordinal(spark):
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["hot"] * 5 + ["a", "b", "z", None]), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, s int").repartition(5)
+    got = {(r["g"], r["s"]): r["n"] for r in ordered.group_ordinal(df, ["g"], [F.col("s").desc()], "n").collect()}
+    place = {}
+    for g in {g for g, _ in rows}:
+        for i, s in enumerate(sorted((s for h, s in rows if h == g), reverse=True)):
+            place[g, s] = i + 1
+    assert got == place
+    assert ordered.group_ordinal(df.limit(0), ["g"], [F.col("s").desc()]).count() == 0
+
+
 def test_asof_with_a_hot_key(spark):
     rnd = random.Random(7)
     left = [(1 if rnd.random() < 0.5 else rnd.randrange(5), rnd.randrange(500), i) for i in range(400)]
