@@ -24,11 +24,12 @@ from lodestrata.session import map_arrow
 
 #: Rows gathered before they are scattered; bounds a task's memory.
 CHUNK_ROWS = 1 << 18
+#: Rows between the passes; Spark's batches may differ in what they declare nullable.
+ROWS = pa.schema([("key", pa.string()), ("item", pa.string()), ("seq", pa.int64()), ("n", pa.int64())])
 
 
 def _reduce(table: pa.Table, k: int) -> pa.Table:
     """(key, item, seq, n) reduced to the first k different items of each key; n is summed."""
-    table = table.combine_chunks()
     if not table.num_rows:
         return table
     key = pc.dictionary_encode(table["key"]).combine_chunks()
@@ -64,7 +65,11 @@ def _reduce(table: pa.Table, k: int) -> pa.Table:
     n = n.ravel()[rows >= 0]
     rows = rows[rows >= 0]
     out = table.select(["key", "item", "seq"]).take(pa.array(rows))
-    return out.append_column("n", pa.array(n))
+    return out.append_column("n", pa.array(n)).cast(ROWS)
+
+
+def _table(batches: list[pa.RecordBatch]) -> pa.Table:
+    return pa.Table.from_batches(batches).cast(ROWS).combine_chunks()
 
 
 def _merge_splits(k: int):
@@ -76,13 +81,13 @@ def _merge_splits(k: int):
             held.append(batch)
             rows += batch.num_rows
             if rows >= CHUNK_ROWS:
-                parts = [pa.Table.from_batches(held)] + ([kept] if kept is not None else [])
+                parts = [_table(held)] + ([kept] if kept is not None else [])
                 kept = _reduce(pa.concat_tables(parts), k)
                 held, rows = [], 0
                 if kept.num_rows > CHUNK_ROWS // 2:  # many keys: partial blocks may leave at any time
                     yield from kept.to_batches()
                     kept = None
-        parts = ([pa.Table.from_batches(held)] if held else []) + ([kept] if kept is not None else [])
+        parts = ([_table(held)] if held else []) + ([kept] if kept is not None else [])
         if parts:
             yield from _reduce(pa.concat_tables(parts), k).to_batches()
 
@@ -98,7 +103,7 @@ def _sum_blocks(k: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(pa.Table.from_batches([batch]))
+            held.append(_table([batch]))
             rows += batch.num_rows
             if rows >= CHUNK_ROWS:
                 table = _reduce(pa.concat_tables(held), k)

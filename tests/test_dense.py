@@ -49,6 +49,20 @@ def test_small_chunks_reduce_alike():
     assert got == loop(rows, 3)
 
 
+def test_splits_larger_than_a_chunk(spark):
+    """More rows in a split, and more keys, than are reduced at a time; a third of them of one key."""
+    from pyspark.sql import functions as F
+
+    n = 900_000
+    user = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("u"), (F.col("id") % 200_003).cast("string")))
+    df = spark.range(0, n, 1, 2).select(user.alias("user_id"), (F.col("id") % 1009).cast("string").alias("follower"), (n - F.col("id")).alias("seq"))
+    got = dense.first_k(df, key="user_id", item="follower", seq="seq", k=3)
+    hot = got.where("user_id = 'hot'").orderBy("place").collect()
+    top = [i for i in range(n - 1, 0, -1) if i % 3 == 0][:3]
+    assert [(r["follower"], r["seq"]) for r in hot] == [(str(i % 1009), n - i) for i in top] and hot[0]["n_rows"] == n // 3
+    assert got.where("place = 1").agg(F.sum("n_rows")).first()[0] == n
+
+
 def test_empty_and_bad_k(spark):
     df = spark.createDataFrame([], "user_id string, follower string, seq bigint")
     assert dense.first_k(df, key="user_id", item="follower", seq="seq", k=3).count() == 0
