@@ -24,17 +24,17 @@ def _ranged(df: DataFrame, by: Sequence[Column]) -> DataFrame:
 def with_ordinal(df: DataFrame, by: Sequence[str], name: str = "ordinal", descending: bool = False) -> DataFrame:
     """``df`` with each row's place (from 1) in the order of ``by``."""
     order = [F.col(c).desc() if descending else F.col(c) for c in by]
-    ranged = _ranged(df, order)
+    # the id holds the range's number above its 33 low bits and the place in the range in them
+    ranged = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn(_PID, F.shiftright("__at", 33).cast("int"))
     counts = sorted((r[0], r[1]) for r in ranged.groupBy(_PID).count().collect())  # a row per partition
     before, total = [], 0
     for pid, n in counts:
         before.append((pid, total))
         total += n
-    if not before:
-        return ranged.drop(_PID).withColumn(name, F.lit(0).cast("long"))
     offsets = df.sparkSession.createDataFrame(before, f"{_PID} int, __before bigint")
-    place = F.row_number().over(Window.partitionBy(_PID).orderBy(*order)) + F.col("__before")
-    return ranged.join(F.broadcast(offsets), _PID).withColumn(name, place.cast("long")).drop(_PID, "__before")
+    place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1
+    return ranged.join(F.broadcast(offsets), _PID).withColumn(name, place).drop(_PID, "__at", "__before")
 
 
 def group_ordinal(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "ordinal") -> DataFrame:
