@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.operators.skew import lookup_join
-from lodestrata.session import map_arrow, scratch
+from lodestrata.session import cut, map_arrow, scratch
 
 
 def _probe_shard(bits: int, seal: int, seal_most: int):
@@ -83,7 +83,7 @@ def _written(rows: DataFrame, key: str, order: str, *, window: int = 1 << 16, au
         .agg(F.max(~F.col("seen")).alias("certain"), F.min("win").alias("win"))
         .where("not certain").select("key", "win", F.lit(True).alias("wrong"))
     )
-    return verdicts, withdrawn
+    return verdicts, cut(withdrawn)  # few rows, read more than once
 
 
 def seen_before(rows: DataFrame, *, key: str, order: str, **options) -> DataFrame:
