@@ -88,11 +88,13 @@ _TOKEN = regex.compile(
 #: Line ends, and runs without white space; tokens never cross them.
 _CHUNK = re.compile(r"[\r\n\x0b\x0c\x85\u2028\u2029]+|\S+")
 _LINK = regex.compile(r"(?:https?://|www\.|data:|/|#).|[\p{L}\p{N}_-]+(?:\.[\p{L}\p{N}_-]+)+/")
+_CJK_FIRST = regex.compile(rf"[{_CJK}]").match
 _PREDICATE = regex.compile(r"\p{Hiragana}{2,}$")
 _WIDE = re.compile(r"[^\x00-\x7f]")
 _ACCENTED, _LATIN = re.compile(r"[\xc0-\xff]"), re.compile(r"[A-Za-z]")
 _BLOB = re.compile(r"\S{40,}")
-_WRONG = ("cp1252", "cp1251", "latin-1")
+_CYRILLIC = re.compile("[\u0400-\u04ff]")
+_WRONG = (("cp1252", _ACCENTED), ("cp1251", _CYRILLIC), ("latin-1", _ACCENTED))
 # token kinds
 _WORD_K, _FUNC_K, _LINK_K, _BREAK_K, _SEP_K, _MENU_K, _CONSENT_K, _STORED_K, _DEVICE_K, _LOST_K, _FOOT_K, _SENT_K = range(12)
 
@@ -118,7 +120,9 @@ def repaired(text: str) -> str:
     if wide < 8:
         return text
     best = text
-    for name in _WRONG:
+    for name, letters in _WRONG:
+        if len(letters.findall(text)) < wide * 0.3:  # lead bytes of sequences would be such letters
+            continue
         again = text.encode(name, "lodestrata_byte").decode("utf-8", "replace")
         # right if nearly all wide characters were parts of sequences
         if len(again) < len(best) - wide * 0.3 and again.count("\ufffd") <= wide * 0.25:
@@ -151,7 +155,7 @@ def _kind(token: str) -> int:
         return _DEVICE_K
     if "�" in word:
         return _LOST_K
-    if regex.match(rf"[{_CJK}]", word):
+    if _CJK_FIRST(word):
         return _SENT_K if len(word) >= 6 and _PREDICATE.search(word) else _WORD_K
     return _WORD_K
 
@@ -160,7 +164,7 @@ def _weight(token: str, kind: int) -> int:
     """Words a token stands for: scripts without spaces count two characters as a word."""
     if kind in (_BREAK_K, _SEP_K, _FOOT_K):
         return 0
-    return max(1, len(token) // 2) if regex.match(rf"[{_CJK}]", token) else 1
+    return max(1, len(token) // 2) if token[0] > "\u2fff" and _CJK_FIRST(token) else 1
 
 
 def _repetition(codes: np.ndarray, owner: np.ndarray, content: np.ndarray) -> np.ndarray:
