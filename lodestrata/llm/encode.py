@@ -112,7 +112,8 @@ def encode(
     merge = _merger(vocabulary)
     words = [r[0].encode() for r in frequent_words(docs, text, lexicon_words).select("word").collect()]
     built = build(words, [merge(w) for w in words])
-    path = scratch(spark, "lexicon") + ".bin"
+    folder = scratch(spark, "lexicon")
+    path = f"{folder}/{os.path.basename(folder)}.bin"  # executors know the file by its last name
     write_bytes(spark, path, built)
     spark.sparkContext.addFile(path)
     out_type = docs.schema[id].dataType.simpleString()
