@@ -20,7 +20,7 @@ def get(log: DataFrame, key: str | bytes, now: int, **kw) -> DataFrame:
 def multi_get(log: DataFrame, keys: DataFrame, now: int, **kw) -> DataFrame:
     """Each distinct key of ``keys`` with its live entry's columns and ``status`` 'found' or 'not_found'."""
     wanted = keys.select("key").where("key is not null").distinct()
-    part = lookup_join(log, wanted.withColumn("__wanted", F.lit(True)), "key", how="left", salts=1).where("__wanted").drop("__wanted")
+    part = lookup_join(log, wanted, "key", salt_on=["seq"])
     found = live_state(part, now, **kw)
     return wanted.join(found, "key", "left").withColumn("status", F.when(F.col("seq").isNotNull(), "found").otherwise("not_found"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: str | None = None
 _SHIPPED: set[str] = set()
+_SCRATCH: list[str] = []
 
 
 def local_session(cpus: int | str = 8, partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -37,20 +38,32 @@ def shared_dir(spark: SparkSession) -> str:
     process is made and set as checkpoint folder of the session.
     """
     global _LOCAL_DIR
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _LOCAL_DIR is None:
-        _LOCAL_DIR = tempfile.mkdtemp(prefix="lodestrata-")
-        spark.sparkContext.setCheckpointDir(_LOCAL_DIR)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(_LOCAL_DIR)
-    return _LOCAL_DIR
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        if _LOCAL_DIR is None:
+            _LOCAL_DIR = tempfile.mkdtemp(prefix="lodestrata-")
+        named = _LOCAL_DIR
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(named)
+    return named.rstrip("/")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; it stays until ``clean_scratch``."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _SCRATCH.append(path)
+    return path
+
+
+def clean_scratch(spark: SparkSession) -> int:
+    """Delete the paths this process made with ``scratch``, once no frame reads them any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -82,7 +95,7 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, Path(root.name) / f.relative_to(root))
-    path = scratch(spark, root.name) + ".zip"
+    path = f"{shared_dir(spark)}/{root.name}-{uuid.uuid4().hex}.zip"
     write_bytes(spark, path, packed.getvalue())
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)

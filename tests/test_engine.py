@@ -117,6 +117,27 @@ def test_key_filter_reaches_the_scan(spark, tmp_path):
     assert not pushed  # tombstones are dropped after newest-wins only
 
 
+def test_scratch_is_cleaned(spark):
+    from lodestrata.session import clean_scratch, scratch
+
+    path = scratch(spark, "t")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert clean_scratch(spark) >= 1 and clean_scratch(spark) == 0
+
+
+def test_lookup_join_beyond_the_bound(spark):
+    from lodestrata.operators.skew import lookup_join
+
+    left = spark.createDataFrame([(1, i) for i in range(50)] + [(k, 0) for k in range(9)], "k int, v int")
+    right = spark.createDataFrame([(k, str(k)) for k in range(1, 7)], "k int, w string")
+    for how in ("inner", "left"):
+        want = sorted(map(tuple, left.join(right, "k", how).collect()), key=str)
+        for bound in (0, 100):
+            got = lookup_join(left, right, "k", how=how, max_broadcast_rows=bound, salts=3)
+            assert sorted(map(tuple, got.collect()), key=str) == want
+
+
 def test_level_planning():
     t = levels.targets([0, 0, 0, 0, 0, 0, 10 << 30])
     assert t.level_bytes[6] == 10 << 30 and t.level_bytes[5] == 1 << 30 and t.base >= 3
