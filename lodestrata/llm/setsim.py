@@ -169,7 +169,8 @@ def similar_pairs(
     pairs = pairs.where((F.col("f") == F.col("fb")) & (common / union >= F.lit(threshold))).select("f", "a", "b", "ka", "kb")
     same = signed.where("shared").select("f", F.col("cls").alias("a"), F.col("cls").alias("b"), F.col("n_blocks").alias("ka"), F.col("n_blocks").alias("kb"))
 
-    counted = members.join(signed.where("n_blocks > 1").select("cls", "n_blocks"), "cls", "left")
+    large = signed.where("n_blocks > 1").select("cls", "n_blocks")
+    counted = lookup_join(members.select("cls", "id"), large, "cls", how="left", salt_on=["id"])
     dealt = counted.select("cls", "id", F.pmod(F.xxhash64("id"), F.coalesce("n_blocks", F.lit(1))).cast("int").alias("block"))
     links = (
         pairs.unionByName(same)
