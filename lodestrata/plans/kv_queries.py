@@ -32,9 +32,9 @@ def query(sql: str | None = None):
     return add
 
 
-def seconds(ts) -> F.Column:
+def seconds(ts: str) -> F.Column:
     """Epoch seconds of a timestamp without zone, whatever the session's zone."""
-    return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast({ts} as timestamp_ntz))")
+    return F.expr(f"unix_date(cast({ts} as date)) * 86400L + hour({ts}) * 3600 + minute({ts}) * 60 + second({ts})")
 
 
 def log_of(spark: SparkSession, folder: str) -> DataFrame:

@@ -117,6 +117,19 @@ def test_key_filter_reaches_the_scan(spark, tmp_path):
     assert not pushed  # tombstones are dropped after newest-wins only
 
 
+def test_seconds_do_not_depend_on_the_zone(spark):
+    from lodestrata.plans.kv_queries import seconds
+
+    df = spark.sql("select timestamp_ntz'2024-07-01 02:30:15.9' as ts union all select timestamp_ntz'1969-12-31 23:59:59'")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert sorted(r[0] for r in df.select(seconds("ts")).collect()) == [-1, 1719801015]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+
+
 def test_scratch_is_cleaned(spark):
     from lodestrata.session import clean_scratch, scratch
 
