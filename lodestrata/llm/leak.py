@@ -11,8 +11,10 @@ template hash, and the slots decide:
   standing for equal values of the document and the other way round: the same
   question with other parameters (``reparameterised``).
 
-The template is a function of the words alone, so a passage that stands in a
-document word by word always shares its templates; none is missed.  The items
+For ``leaks`` the template is a function of the words alone, so a passage that
+stands in a document word by word always shares its templates; none is missed.
+``reparameterised`` reads each text in three ways (see ``READINGS``), as the
+other values need not occur in any item, nor have as many words.  The items
 are the stated query set: their windows are matched in blocks of at most
 ``BLOCK_WINDOWS``, each block's hashes are broadcast, and only matching
 windows of documents leave the scan.
@@ -36,8 +38,9 @@ from lodestrata.session import cut, map_arrow
 
 #: Windows of items whose hashes are broadcast at a time (8 MB of template hashes).
 BLOCK_WINDOWS = 1 << 20
-#: Names kept as placeholders; more are ordinary words. Bounds the list; no exact passage depends on it.
-MOST_NAMES = 100_000
+#: Readings of a text for ``reparameterised``, (names by capitals, values folded): names by the items' list; names by the text's own capitals;
+#: the same with each number (1,204.5) and each run of names (Ada Lovelace) as one token, so that values may differ in their number of words.
+READINGS = ((False, False), (True, False), (True, True))
 #: Words that stand for units (fixed values).
 UNITS = frozenset(
     "mm cm dm m km mg g kg t ml cl l s sec min h ms inch inches ft feet yard yards mile miles oz lb lbs pound pounds "
@@ -49,6 +52,11 @@ _FORMAT = regex.compile(r"\p{Cf}+")
 _CHUNK = re.compile(f"[^{WHITE}]+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 _DIGIT = regex.compile(r"\p{N}")
+#: Chunks with the line end behind them, which ends a sentence.
+_LINED = re.compile(f"[^{WHITE}]+(?:[ \\t]*[\\n\\r])?")
+#: Marks of a tagged token: what stands before it, behind it (a break, a comma, nothing), its capital, its separator from the number before.
+_BREAK, _COMMA, _NONE = "012"
+_GROUPED = regex.compile(r"[.,'’](?=\p{N}{3}(?!\p{N}))")
 _U = np.uint64
 
 
@@ -72,6 +80,34 @@ def slot_of(word: str, names: frozenset) -> str:
     return "<name>" if word in names else ""
 
 
+def _between(text: str) -> str:
+    return _NONE if not text or text in "-'’" else _COMMA if text in ",;" else _BREAK
+
+
+def tagged(chunk: str) -> list[str]:
+    """The words of a chunk, each behind four marks: before, behind, capital ('1'), separator within a number (or ' ')."""
+    line = chunk[-1] in "\n\r"
+    text = chunk.rstrip(" \t\n\r")
+    if not text.isascii():
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
+        text = _FORMAT.sub("", text)
+    lower = text.lower()
+    if len(lower) != len(text):  # a letter that becomes two: no capital but the first
+        text = text[:1] + lower[1:]
+    found = list(_WORD.finditer(lower))
+    out = []
+    for k, m in enumerate(found):
+        gap = lower[found[k - 1].end():m.start()] if k else ""
+        before = _between(gap) if k else (_NONE if not m.start() else _BREAK)
+        end = found[k + 1].start() if k + 1 < len(found) else len(lower)
+        behind = _BREAK if line and k + 1 == len(found) else _between(lower[m.end():end])
+        joined = k and len(gap) == 1 and gap in ".,'’/:" and _DIGIT.match(lower[m.start() - 2]) and _DIGIT.match(m[0])
+        first = text[m.start():m.start() + 1]
+        out.append(f"{before}{behind}{int(first.isupper() or first.istitle())}{gap if joined else ' '}{m[0]}")
+    return out
+
+
 def _rolled(codes: np.ndarray, window: int) -> np.ndarray:
     """Polynomial hash of each window of ``codes``."""
     n = len(codes) - window + 1
@@ -83,35 +119,120 @@ def _rolled(codes: np.ndarray, window: int) -> np.ndarray:
 
 
 def _windows(texts: list[str | None], window: int, names: frozenset):
-    """(distinct words, code of each word, owner of each window, its start, template hash, number of slots)."""
+    """(distinct words, code of each word, owner of each window, its start, template hash)."""
     per_text, code, distinct = expanded(texts, _CHUNK, words_of)
     distinct = distinct.to_pylist()
     owner = np.repeat(np.arange(len(texts)), per_text)
     n = len(code) - window + 1
     if n <= 0:
         empty = np.empty(0, np.int64)
-        return distinct, code, empty, empty, np.empty(0, np.uint64), empty
+        return distinct, code, empty, empty, np.empty(0, np.uint64)
     slots = [slot_of(w, names) for w in distinct]
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(s or "w" + w) for s, w in zip(slots, distinct, strict=True)), np.uint64, len(distinct))
     inside = np.flatnonzero(owner[:n] == owner[window - 1:])
-    is_slot = np.r_[0, np.cumsum(np.fromiter((bool(s) for s in slots), np.int64, len(slots))[code])]
-    n_slots = is_slot[window:] - is_slot[:n]
-    return distinct, code, owner[inside], inside, _rolled(hashes[code], window)[inside], n_slots[inside]
+    return distinct, code, owner[inside], inside, _rolled(hashes[code], window)[inside]
+
+
+def _number(text: str) -> str:
+    """A number without separators of its thousands, and with a point."""
+    return _GROUPED.sub("", text).replace(",", ".")
+
+
+def _read(texts: list[str | None], window: int, names: frozenset, ordinary: frozenset):
+    """For each of READINGS (number, tokens of a window by its start, owner of each window, its start, template hash, number of slots)."""
+    per_text, code, distinct = expanded(texts, _LINED, tagged)
+    n = len(code)
+    if not n:
+        return
+    marks = distinct.to_pylist()
+    words = [m[4:] for m in marks]
+    owner = np.repeat(np.arange(len(texts)), per_text)
+    of = lambda values, kind: np.fromiter(values, kind, len(words))[code]
+    before, behind = of((int(m[0]) for m in marks), np.int8), of((int(m[1]) for m in marks), np.int8)
+    first = np.r_[True, owner[1:] != owner[:-1]]
+    link = np.where(first, 0, np.minimum(before, np.r_[0, behind[:-1]]))
+    fixed = [slot_of(w, frozenset()) for w in words]
+    listed = of((not s and w in names for s, w in zip(fixed, words, strict=True)), bool)
+    capital = of((not s and m[2] == "1" for s, m in zip(fixed, marks, strict=True)), bool)
+    common = of((w in ordinary for w in words), bool)
+    # at the start of a sentence a capital alone says nothing: the items' ordinary words stay words there
+    named = capital & ((link > 0) | ~common) | listed & ~common
+    plain = of((xxhash.xxh3_64_intdigest(s or "w" + w) for s, w in zip(fixed, words, strict=True)), np.uint64)
+    name_hash = _U(xxhash.xxh3_64_intdigest("<name>"))
+    slot = of((bool(s) for s in fixed), bool)
+    in_number = ~first & of((m[3] != " " for m in marks), bool)
+    for reading, (by_capitals, folded) in enumerate(READINGS):
+        name = named if by_capitals else listed
+        head = np.arange(n)
+        if folded:
+            in_name = name & np.r_[False, name[:-1]] & (link == int(_NONE))
+            head = np.flatnonzero(~(in_number | in_name))
+            if len(head) == n:
+                continue
+        hashes, slots = np.where(name, name_hash, plain)[head], (slot | name)[head]
+        whose = owner[head]
+        k = len(head) - window + 1
+        if k <= 0:
+            continue
+        ends = np.r_[head[1:], n]
+
+        def tokens(start: int, head=head, ends=ends) -> list[str]:
+            out = []
+            for a, b in zip(head[start:start + window].tolist(), ends[start:start + window].tolist(), strict=True):
+                run = code[a:b].tolist()
+                text = "".join(marks[c][3] + words[c] for c in run)[1:]
+                out.append(_number(text) if fixed[run[0]] == "<num>" else text)
+            return out
+
+        inside = np.flatnonzero(whose[:k] == whose[window - 1:])
+        total = np.r_[0, np.cumsum(slots)]
+        yield reading, tokens, whose[inside], inside, _rolled(hashes, window)[inside], (total[window:] - total[:k])[inside]
+
+
+def _look(window: int, names_bc, wanted_bc):
+    """Windows of texts as ``_scan`` has them, of each reading, that hold an ordinary word and a slot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (names, ordinary), wanted = names_bc.value, wanted_bc.value if wanted_bc is not None else None
+        if wanted is not None:
+            sieve = np.zeros(1 << 22, bool)
+            sieve[wanted >> _U(42)] = True
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts):
+                for reading, tokens, owner, start, hashes, n_slots in _read(texts[a:b], window, names, ordinary):
+                    hashes = hashes ^ _U(reading)
+                    keep = np.flatnonzero((n_slots > 0) & (n_slots < window))
+                    if wanted is not None:
+                        keep = keep[sieve[hashes[keep] >> _U(42)]]
+                        at = np.minimum(np.searchsorted(wanted, hashes[keep]), len(wanted) - 1)
+                        keep = keep[wanted[at] == hashes[keep]]
+                    if len(keep):
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                batch.column(0).slice(a, b - a).take(pa.array(owner[keep])),
+                                pa.array(hashes[keep].view(np.int64)),
+                                pa.array([tokens(s) for s in start[keep].tolist()], pa.list_(pa.string())),
+                            ],
+                            names=["id", "template", "words"],
+                        )
+
+    return run
 
 
-def _scan(window: int, names_bc, wanted_bc, most_slots: int):
+def _scan(window: int, names_bc, wanted_bc):
     """Windows of texts; with ``wanted_bc`` only those whose template hash is in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, wanted = names_bc.value, wanted_bc.value if wanted_bc is not None else None
+        (names, _), wanted = names_bc.value, wanted_bc.value if wanted_bc is not None else None
         if wanted is not None:
             sieve = np.zeros(1 << 22, bool)  # first look: 22 bits of the hash
             sieve[wanted >> _U(42)] = True
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
-                words, code, owner, start, hashes, n_slots = _windows(texts[a:b], window, names)
-                keep = np.flatnonzero(n_slots <= most_slots)
+                words, code, owner, start, hashes = _windows(texts[a:b], window, names)
+                keep = np.arange(len(hashes))
                 if wanted is not None:
                     keep = keep[sieve[hashes[keep] >> _U(42)]]
                     at = np.minimum(np.searchsorted(wanted, hashes[keep]), len(wanted) - 1)
@@ -129,16 +250,16 @@ def _scan(window: int, names_bc, wanted_bc, most_slots: int):
     return run
 
 
-def _names(items: DataFrame, text: str) -> frozenset:
-    """Words of the items that only occur capitalised inside sentences: names, at most MOST_NAMES."""
+def _names(items: DataFrame, text: str) -> tuple[frozenset, frozenset]:
+    """Of the items: words that only occur capitalised inside sentences (names), and words that occur without a capital (ordinary)."""
     inner = F.explode(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(r"(?<=[\p{Ll},;] )\p{L}+"), F.lit(0))).alias("w")
-    seen = items.select(inner).groupBy(F.lower("w").alias("w")).agg(
-        F.min(F.col("w").rlike(r"^\p{Lu}")).alias("always"), F.count(F.lit(1)).alias("n")
-    )
-    return frozenset(r[0] for r in seen.where("always").orderBy(F.desc("n"), "w").limit(MOST_NAMES).select("w").collect())
+    small = F.explode(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(r"(?<![\p{L}\p{N}])\p{Ll}[\p{L}\p{N}]*"), F.lit(0))).alias("w")
+    seen = items.select(inner).groupBy(F.lower("w").alias("w")).agg(F.min(F.col("w").rlike(r"^\p{Lu}")).alias("always"))
+    names = frozenset(r[0] for r in seen.where("always").select("w").collect())
+    return names, frozenset(r[0] for r in items.select(small).select(F.lower("w")).distinct().collect())
 
 
-def _matches(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: str, window: int, most_slots: int) -> DataFrame:
+def _matches(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: str, window: int, scan=_scan) -> DataFrame:
     """(doc, item, dw, iw): windows of documents and items of equal template."""
     spark = docs.sparkSession
     sc = spark.sparkContext
@@ -146,7 +267,7 @@ def _matches(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: st
     names = sc.broadcast(_names(items, text))
     shape = "template bigint, words array<string>"
     of_items = items.where(F.col(f"`{item}`").isNotNull()).select(F.col(f"`{item}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    queries = cut(map_arrow(of_items, _scan(window, names, None, most_slots), f"id {item_type}, {shape}").distinct())
+    queries = cut(map_arrow(of_items, scan(window, names, None), f"id {item_type}, {shape}").distinct())
     blocks = max(1, -(-queries.count() // BLOCK_WINDOWS))
     src = docs.where(F.col(f"`{doc}`").isNotNull()).select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").alias("text"))
     found = None
@@ -155,7 +276,7 @@ def _matches(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: st
         hashes = np.unique(np.array([r[0] for r in mine.select("template").distinct().collect()], np.int64).view(np.uint64))
         if not len(hashes):
             continue
-        hits = map_arrow(src, _scan(window, names, sc.broadcast(hashes), most_slots), f"id {doc_type}, {shape}")
+        hits = map_arrow(src, scan(window, names, sc.broadcast(hashes)), f"id {doc_type}, {shape}")
         hits = hits.select(F.col("id").alias("doc"), "template", F.col("words").alias("dw"))
         part = hits.join(mine.select(F.col("id").alias("item"), "template", F.col("words").alias("iw")), "template")
         found = part if found is None else found.unionByName(part)
@@ -172,23 +293,24 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: str,
     shares the passage with another is reported as well; empty tables give no
     rows; further columns are ignored.
     """
-    found = _matches(docs, items, doc=doc, item=item, text=text, window=window, most_slots=window)
+    found = _matches(docs, items, doc=doc, item=item, text=text, window=window)
     same = found.where(F.col("dw") == F.col("iw"))
     return same.select(F.col("doc").alias(doc), F.col("item").alias(item)).distinct()
 
 
-def reparameterised(
-    docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: str, window: int = 12, most_slots: int = 4,
-) -> DataFrame:
+def reparameterised(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: str, window: int = 12) -> DataFrame:
     """(doc, item, n_windows): passages of an item with other numbers, names or units.
 
-    A window counts if its template is the item's, at most ``most_slots`` of
-    its words are slots, some slot differs, and slots map one to one: equal
-    values of the item to equal values of the document and back.  Defined
-    cases as for ``leaks``.
+    A window of tokens counts if its template is the item's in one of the
+    READINGS, it holds an ordinary word, some slot differs, and slots map one
+    to one: equal values of the item to equal values of the document and back.
+    A name is a word with a capital inside a sentence; at a sentence's start,
+    where any word has one, a word that the items never write without it.  The
+    items' own names count without a capital as well; other names in texts
+    without capitals cannot be told from words.  ``n_windows`` counts distinct
+    pairs of windows, of all readings.  Defined cases as for ``leaks``.
     """
-    found = _matches(docs, items, doc=doc, item=item, text=text, window=window, most_slots=most_slots)
+    found = _matches(docs, items, doc=doc, item=item, text=text, window=window, scan=_look).where(F.col("dw") != F.col("iw")).distinct()
     moved = F.array_distinct(F.arrays_zip(F.col("iw").alias("i"), F.col("dw").alias("d")))
     one_to_one = (F.size(moved) == F.size(F.array_distinct("iw"))) & (F.size(moved) == F.size(F.array_distinct("dw")))
-    other = found.where((F.col("dw") != F.col("iw")) & one_to_one).distinct()
-    return other.groupBy(F.col("doc").alias(doc), F.col("item").alias(item)).agg(F.count(F.lit(1)).alias("n_windows"))
+    return found.where(one_to_one).groupBy(F.col("doc").alias(doc), F.col("item").alias(item)).agg(F.count(F.lit(1)).alias("n_windows"))

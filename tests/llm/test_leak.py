@@ -76,3 +76,30 @@ def test_empty_tables(spark):
 def test_long_and_dirty_words():
     assert leak.words_of("A­B c​d ①② ﬀ Ǆ İ") == words("A­B c​d ①② ﬀ Ǆ İ")
     assert leak.words_of(None) == [] and leak.words_of(" \n") == []
+
+
+def test_reparameterised_by_values_of_no_item(spark):
+    q = "On the way home {} counts {} old coins and shows them to {} before the shop closes"
+    dense = "from {} to {} and {} then {} plus {} or {} gives a sum"
+    items = [(1, q.format("Natalia", 83, "Weng"), "b"), (2, dense.format(1, 2, 3, 4, 5, 6), "b"), (3, "Natalia, 7 x 7 " * 3, "b")]
+    docs = [
+        (1, q.format("Natalia", 83, "Weng"), ""),
+        (2, q.format("Oluwaseun", 83, "Björk"), ""),  # names that stand in no item
+        (3, q.format("Natalia", "1,204.5", "Weng"), ""),  # a number of three words
+        (4, q.format("Ada Lovelace", "16.9", "Oluwaseun"), ""),  # a name of two words
+        (5, q.format("natalia", 12, "weng"), ""),  # an item's names without capitals
+        (6, q.replace("coins", "stamps").replace("shows", "sells").format("Natalia", 12, "Weng"), ""),
+        (7, "Home. " + dense.format(10, 20, 30, 40, 50, 60), ""),  # six slots of twelve words
+        (8, "1 2 3 4 5 6 7 8 9 10 11 12 13 14", ""),  # no ordinary word
+        (9, q.format("Weng", 83, "Weng"), ""),  # one name for two
+    ]
+    got = leak.reparameterised(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM), doc="doc_id", item="item_id", text="text").collect()
+    pairs = {(r["doc_id"], r["item_id"]) for r in got}
+    assert {(2, 1), (3, 1), (4, 1), (5, 1), (7, 2)} <= pairs
+    assert not {(1, 1), (6, 1)} & pairs and 8 not in {d for d, _ in pairs}
+
+
+def test_tagged_words_are_the_words():
+    for t in ("Anna's 1,204.5 km: \"Über\" 3½ x", "İstanbul o​ne ǅ 16.9% (The) a_b", "ﬁsh; Jean-Luc…"):
+        tokens = [w for chunk in leak._LINED.findall(t) for w in leak.tagged(chunk)]
+        assert [w[4:] for w in tokens] == leak.words_of(t) and all(len(w) > 4 for w in tokens)
