@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.functions.kv import has_prefix
+from lodestrata.operators.skew import lookup_join, split_join
 from lodestrata.session import cut
 
 
@@ -38,7 +39,7 @@ def mutual(e: DataFrame) -> DataFrame:
 def two_hop(e: DataFrame) -> DataFrame:
     """Distinct (src, dst) two steps apart, src itself left out."""
     a, b = e.select("src", F.col("dst").alias("mid")), e.select(F.col("src").alias("mid"), "dst")
-    return a.join(b, "mid").where("src <> dst").select("src", "dst").distinct()
+    return split_join(a, b, "mid").where("src <> dst").select("src", "dst").distinct()
 
 
 def k_hop(e: DataFrame, sources: Sequence[str], k: int) -> DataFrame:
@@ -58,19 +59,38 @@ def k_hop(e: DataFrame, sources: Sequence[str], k: int) -> DataFrame:
     return seen
 
 
-def common_neighbours(e: DataFrame, least: int = 1) -> DataFrame:
-    """(a, b, n): ids that both a and b follow, for a < b with at least ``least``."""
+def common_neighbours(e: DataFrame, least: int = 1, of: DataFrame | None = None) -> DataFrame:
+    """(a, b, n): ids that both a and b follow, for a < b with at least ``least``.
+
+    The pairs of followers of one id are as many as its degree squared.  With
+    ``of``, a frame with the distinct ids asked for as ``id``, (a, b, n) of
+    each of them, as a, with every other id, as b.
+    """
     x, y = e.select(F.col("src").alias("a"), "dst"), e.select(F.col("src").alias("b"), "dst")
-    pairs = x.join(y, "dst").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    if of is not None:
+        x = lookup_join(x, of.select(F.col("id").alias("a")), "a")
+    pairs = split_join(x, y, "dst").where("a < b" if of is None else "a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
     return pairs.where(F.col("n") >= least)
 
 
 def triangles(e: DataFrame) -> DataFrame:
-    """(a, b, c), a < b < c, connected pairwise whatever the direction."""
-    u = e.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    ab, bc = u, u.select(F.col("a").alias("b"), F.col("b").alias("c"))
-    ac = u.select("a", F.col("b").alias("c"))
-    return ab.join(bc, "b").join(ac, ["a", "c"], "left_semi").select("a", "b", "c")
+    """(a, b, c), a < b < c, connected pairwise whatever the direction.
+
+    Each edge leads from the end of lower degree (then id) to the other, so a
+    vertex has at most the square root of twice the edges behind it, however
+    many it is connected with.
+    """
+    u = cut(e.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    degree = cut(u.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n")))
+    known = u
+    for end in ("a", "b"):
+        known = lookup_join(known, degree.select(F.col("id").alias(end), F.col("n").alias(f"n_{end}")), end)
+    up = F.col("n_a") <= F.col("n_b")  # a < b, so equal degrees go by id
+    out = known.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("y"))
+    wedges = split_join(out, out.withColumnRenamed("y", "z"), "x").where("y < z")
+    closed = wedges.join(u.select(F.col("a").alias("y"), F.col("b").alias("z")), ["y", "z"], "left_semi")
+    ends = F.array_sort(F.array("x", "y", "z"))
+    return closed.select(ends[0].alias("a"), ends[1].alias("b"), ends[2].alias("c"))
 
 
 def edge_log(e: DataFrame) -> DataFrame:

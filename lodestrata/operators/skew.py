@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.session import cut
+
 #: Rows of a small side that may be broadcast; checked by a count before each use.
 BROADCAST_ROWS = 500_000
+#: Rows of one key, on either side of a join of many to many, that may meet in one task; more are split into blocks.
+PART_ROWS = 4_000
 
 
 def lookup_join(
@@ -33,3 +37,24 @@ def lookup_join(
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in over]), F.lit(salts)))
     repeated = right.withColumn("__salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
     return salted.join(repeated, [key, "__salt"], how).drop("__salt")
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, part_rows: int | None = None) -> DataFrame:
+    """Inner join of many rows with many on ``key``, crowded keys in blocks of about ``part_rows`` times ``part_rows`` rows.
+
+    Rows of a side are dealt to parts by their hash (so they should be
+    distinct), and each pair of parts meets once.  Keys that are crowded on
+    neither side are joined as they are.  Null keys match nothing.
+    """
+    part = part_rows or PART_ROWS
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / part)).cast("long")
+    sides = left.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(right.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    n = sides.groupBy(key).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    crowded = cut(n.where((F.col("l") > part) | (F.col("r") > part)).select(key, parts("l").alias("__l"), parts("r").alias("__r")))
+
+    def dealt(side: DataFrame, mine: str, other: str) -> DataFrame:
+        own = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in side.columns]), F.coalesce(mine, F.lit(1)))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, F.lit(1)) - 1))
+        return lookup_join(side, crowded, key, how="left").withColumn(f"{mine}part", own).withColumn(f"{other}part", every).drop("__l", "__r")
+
+    return dealt(left, "__l", "__r").join(dealt(right, "__r", "__l"), [key, "__lpart", "__rpart"]).drop("__lpart", "__rpart")

@@ -554,6 +554,46 @@ def graph_triangles(spark, folder):
     return graph.triangles(_seed(spark, folder))
 
 
+# the same over all current documents; of common neighbours, whose pairs grow as the degrees squared, a stated set of ids against all
+
+
+@query("""select trim(id) as id, name, len(follower) as n_follower, len(following) as n_following from
+    (select *, row_number() over (partition by trim(id) order by seq desc) as rn from user_doc where trim(id) <> '' and seq is not null) where rn = 1""")
+def json_users_current(spark, folder):
+    u = table(spark, folder, "user_doc").select(F.trim("id").alias("id"), "seq", "name", "follower", "following").where("length(id) > 0 and seq is not null")
+    body = F.to_json(F.struct(F.col("id").alias("ID"), F.col("name").alias("Name"), F.col("follower").alias("Follower"), F.col("following").alias("Following")))
+    log = u.select(F.col("id").alias("key"), "seq", F.lit(False).alias("is_delete"), body.alias("value"), F.lit(NOW + 1000).alias("expires_at"))
+    d = live_state(log, NOW).select(F.from_json("value", _USER).alias("d"))
+    return d.select(
+        F.col("d.ID").alias("id"), F.col("d.Name").alias("name"),
+        F.size("d.Follower").cast("long").alias("n_follower"), F.size("d.Following").cast("long").alias("n_following"),
+    )
+
+
+@query(f"with {_EDGES} select distinct x.src, y.dst from edges x join edges y on x.dst = y.src where x.src <> y.dst")
+def graph_two_hop_current(spark, folder):
+    return graph.two_hop(cut(_edges(spark, folder)))
+
+
+@query(f"""with recursive {_EDGES}, hop(id, depth) as (select '10000010' as id, 0 as depth union select e.dst, h.depth + 1 from hop h join edges e on e.src = h.id where h.depth < 3)
+    select id, cast(min(depth) as integer) as depth from hop group by 1""")
+def graph_khop_current(spark, folder):
+    return graph.k_hop(cut(_edges(spark, folder)), ["10000010"], 3)
+
+
+@query(f"""with {_EDGES} select x.src as a, y.src as b, count(*) as n from edges x join edges y on x.dst = y.dst and x.src <> y.src
+    where x.src between '10000010' and '10000019' group by 1, 2""")
+def graph_common_neighbours_current(spark, folder):
+    e = cut(_edges(spark, folder))
+    return graph.common_neighbours(e, of=e.where("src between '10000010' and '10000019'").select(F.col("src").alias("id")).distinct())
+
+
+@query(f"""with {_EDGES}, u as (select distinct least(src, dst) as a, greatest(src, dst) as b from edges where src <> dst)
+    select x.a, x.b, y.b as c from u x join u y on x.b = y.a join u z on z.a = x.a and z.b = y.b""")
+def graph_triangles_current(spark, folder):
+    return graph.triangles(cut(_edges(spark, folder)))
+
+
 @query(f"with {_EDGES} select 'e:' || src || ':' || dst as key, dst from edges where src = '10000010'")
 def graph_prefix_adjacency(spark, folder):
     return graph.adjacency(graph.edge_log(_edges(spark, folder)), "10000010").select("key", "dst")
