@@ -59,12 +59,12 @@ def p8_reparameterised(spark: SparkSession, folder: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of keywords, links, products or tags in place of sentences."""
-    return stuffing.stuffed_pages(table(spark, folder, "documents"), id="doc_id", text="text")
+    return stuffing.stuffed_pages(table(spark, folder, "documents"), id="doc_id", text="text", lang="lang", host="source")
 
 
 def p9_words(spark: SparkSession, folder: str) -> DataFrame:
     """Words of each page, those in sentences and those in repetition."""
-    return stuffing.page_words(table(spark, folder, "documents"), id="doc_id", text="text")
+    return stuffing.page_words(table(spark, folder, "documents"), id="doc_id", text="text", lang="lang", host="source")
 
 
 QUERIES = {
