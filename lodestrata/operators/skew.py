@@ -4,15 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.session import cut
 
-#: Rows of a small side that may be broadcast; checked by a count before each use.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes of a small side that may be broadcast; both are measured before each use.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 #: Rows of one key, on either side of a join of many to many, that may meet in one task; more are split into blocks.
 PART_ROWS = 4_000
 
 
+def row_bytes(df: DataFrame):
+    """Expression of about the bytes a row takes in memory."""
+    size = F.lit(16 * (len(df.columns) + 1)).cast("long")
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            size = size + F.coalesce(2 * F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return size
+
+
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` is small enough to be broadcast; at most ``max_rows`` + 1 of its rows are measured."""
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    return n <= max_rows and size <= max_bytes
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
@@ -25,13 +44,12 @@ def lookup_join(
 ) -> DataFrame:
     """``left`` joined with ``right``, which has one row per ``key``.
 
-    ``right`` is counted first (hand in a checkpointed or cheap frame).  Up to
-    ``max_broadcast_rows`` it is broadcast and ``left`` is not shuffled.
+    ``right`` is measured first (hand in a checkpointed or cheap frame).  Up to
+    ``max_broadcast_rows`` and BROADCAST_BYTES it is broadcast and ``left`` is not shuffled.
     Beyond that both sides are shuffled on (key, salt): ``right`` is repeated
     ``salts`` times and the rows of a crowded key are spread over as many tasks.
     """
-    # "limit" bounds the count's own work on a large side
-    if right.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+    if fits(right, max_broadcast_rows):
         return left.join(F.broadcast(right), key, how)
     over = salt_on or [c for c in left.columns if c != key]
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in over]), F.lit(salts)))
