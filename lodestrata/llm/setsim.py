@@ -1,25 +1,29 @@
 """All similar pairs between set-valued records (banded minwise signatures).
 
-1. Equal sets are one class; only distinct sets are signed and compared.
+1. Equal sets are one class; only distinct sets are numbered, signed and compared.
 2. Each set gets ``bands`` keys of ``rows`` minwise hashes.  At similarity s
-   two sets share no key with probability (1 - s**rows)**bands; with 28 bands of
-   3 that is 8e-6 at the threshold 0.7 and falls steeply above it.
-3. Sets sharing a band key are candidates.  A key shared by more than
-   ``crowded`` sets (they hold the same few popular ids) is split exactly: two
-   sets of similarity >= t share one of the first |A| - ceil(t|A|) + 1 ids in
-   any common order, so with popular ids last in that order each crowded bucket
-   falls into small ones, and no pair is lost or capped.
-4. Each set carries a 128-bit map of its ids.  Bits of one map missing in the
-   other are ids missing there, which bounds the similarity from above; a
-   candidate whose bound is below the threshold is dropped inside the join.
-   The rest are deduplicated and verified on the sets themselves.
-5. Class pairs are expanded to pairs of records; the members of a large class
-   are dealt over blocks, so no task holds a class.
+   two sets share no key with probability (1 - s**rows)**bands; with 16 bands of
+   2 that is 2e-5 at the threshold 0.7 and falls steeply above it.
+3. Only (key, number) is shuffled.  Keys held by one set end there; the sets of
+   any other key are candidates.
+4. A key shared by more than ``crowded`` sets (they hold the same few popular
+   ids) is split exactly: with popular ids last in a common order, two sets of
+   similarity >= t share k of the first |A| - ceil(t|A|) + k ids.  So the sets of
+   a crowded key meet again by (key, one such id), those of a part that is still
+   crowded by (key, two such ids), and what then remains is dealt into blocks
+   that meet pairwise.  No pair is lost or capped.  Keys that hold a large share
+   of all sets are found by a summary of bounded size and split before they meet in one task.
+5. Each set has a 128-bit map of its ids.  Bits of one map missing in the
+   other are ids missing there, which bounds the similarity from above; the
+   candidates left by that bound are verified on the sets themselves.
+6. ``similar_classes`` gives the links between classes and the members of each;
+   ``similar_pairs`` expands them, members of a large class dealt over blocks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,18 @@ from pyspark.sql import functions as F
 from lodestrata.operators.skew import lookup_join
 from lodestrata.session import map_arrow, scratch
 
-#: Members of a class in one block of the expansion.
+#: Members of a class in one block of the expansion, and sets of a key in one block.
 BLOCK = 1024
 #: Ids put last in the prefix order; the most frequent ones, a bounded list.
 POPULAR = 4096
+#: Keys with so many sets are split before they meet; at most so many such keys are named.
+HUGE_ROWS, HUGE_KEYS = 1 << 17, 1024
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
 
 
 def _sign(bands: int, rows: int, threshold: float, popular: dict[int, int], seed: int = 7):
@@ -40,10 +52,6 @@ def _sign(bands: int, rows: int, threshold: float, popular: dict[int, int], seed
     mult = rng.integers(1 << 40, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
     add = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
 
-    def mixed(x: np.ndarray) -> np.ndarray:
-        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-        return x ^ (x >> np.uint64(33))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = np.array(sorted(popular), np.int64)
         hot_rank = np.array([popular[h] for h in hot.tolist()], np.int64)
@@ -57,17 +65,17 @@ def _sign(bands: int, rows: int, threshold: float, popular: dict[int, int], seed
             ends = (ends - ends[0]).astype(np.int64)
             starts, sizes = ends[:-1], np.diff(ends)
             base = values.view(np.uint64)
-            salt = batch.column(batch.schema.get_field_index("field_no")).to_numpy().astype(np.uint64)
+            salt = batch.column(batch.schema.get_field_index("f")).to_numpy().astype(np.uint64)
             keys = np.empty((n, bands), np.uint64)
             with np.errstate(over="ignore"):
                 for b in range(bands):
                     key = salt * np.uint64(1_000_003) + np.uint64(b)
                     for r in range(rows):
                         i = b * rows + r
-                        low = np.minimum.reduceat(mixed(base * mult[i] + add[i]), starts)
-                        key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + low)
+                        low = np.minimum.reduceat(_mixed(base * mult[i] + add[i]), starts)
+                        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + low)
                     keys[:, b] = key
-            # prefix: unpopular ids first, in hash order; the most popular last
+            # prefix of two more than needed for one common id: unpopular ids first, in hash order; the most popular last
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
                 rank = np.where(hot[at] == values, hot_rank[at], -1)
@@ -76,109 +84,238 @@ def _sign(bands: int, rows: int, threshold: float, popular: dict[int, int], seed
             owner = np.repeat(np.arange(n), sizes)
             order = np.lexsort((values, rank, owner))
             least = np.ceil(threshold * sizes - 1e-9).astype(np.int64)
-            prefix = sizes - least + 1
+            prefix = np.minimum(sizes - least + 2, sizes)
             place = np.arange(len(values)) - np.repeat(starts, sizes)
             taken = order[place < np.repeat(prefix, sizes)]
             pre_ends = np.r_[0, np.cumsum(prefix)].astype(np.int32)
-            bit = mixed(base)
+            bit = _mixed(base)
             one, high = np.uint64(1) << (bit & np.uint64(63)), (bit >> np.uint64(6) & np.uint64(1)).astype(bool)
             low_map, high_map = (np.bitwise_or.reduceat(np.where(m, one, np.uint64(0)), starts).view(np.int64) for m in (~high, high))
-            keep = [i for i, c in enumerate(batch.schema.names) if c not in ("hashes", "field_no")]
+            keep = [i for i, c in enumerate(batch.schema.names) if c != "hashes"]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(i) for i in keep),
                     pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), pa.array(keys.view(np.int64).ravel())),
-                    pa.ListArray.from_arrays(pre_ends, pa.array(values[taken])), pa.array(low_map), pa.array(high_map),
+                    pa.ListArray.from_arrays(pre_ends, pa.array(values[taken])), pa.array((sizes - least + 1).astype(np.int32)),
+                    pa.array(low_map), pa.array(high_map),
                 ],
-                names=[*(batch.schema.names[i] for i in keep), "keys", "prefix", "m0", "m1"],
+                names=[*(batch.schema.names[i] for i in keep), "keys", "prefix", "n_prefix", "m0", "m1"],
             )
 
     return run
 
 
-def similar_pairs(
-    records: DataFrame, *, id: str, fields: tuple[str, ...], threshold: float, least: int = 1,
-    bands: int = 28, rows: int = 3, crowded: int = 64,
-) -> DataFrame:
-    """Pairs of records whose sets in a field have intersection / union >= threshold.
+def _split(depth: int):
+    """(key, num) from (key, num, prefix, n_prefix): a key for each ``depth`` ids of the prefix.
 
-    ``fields``: array columns holding sets (no repeats, no nulls); sets of fewer
-    than ``least`` ids are left out.  Result: field, id_a, id_b with id_a < id_b,
-    each pair once.  To join two tables, hand in their union with distinct ids.
-
-    Defined cases: null and empty sets are similar to nothing; equal sets are
-    similar; a null id is no record; repeated rows of an id count once; further
-    columns are ignored; an empty table gives no rows.
+    Similar sets share at least ceil(t|A|) ids.  Where that is one, two ids need
+    not be shared; such sets are small, and meet each other once more by the old key.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, num = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            lists = batch.column(2)
+            values, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
+            ends = ends - ends[0]
+            n = batch.column(3).to_numpy(zero_copy_only=False)
+            starts, small = ends[:-1], np.flatnonzero(n == np.diff(ends))
+            if depth > 1 and len(small):
+                yield pa.RecordBatch.from_arrays([pa.array((~key[small])), pa.array(num[small])], names=["key", "num"])
+            n = np.minimum(n + depth - 1, np.diff(ends))
+            for size in np.unique(n).tolist():
+                at = np.flatnonzero(n == size)
+                chosen = np.array(list(combinations(range(size), depth)), np.int64).reshape(-1, depth)
+                if not len(chosen):
+                    continue
+                part = np.sort(values[starts[at][:, None, None] + chosen[None]], axis=2)
+                out = np.repeat(key[at].view(np.uint64), len(chosen)).reshape(len(at), -1)
+                with np.errstate(over="ignore"):
+                    for d in range(depth):
+                        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + part[:, :, d])
+                yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64).ravel()), pa.array(np.repeat(num[at], len(chosen)))], names=["key", "num"])
+
+    return run
+
+
+def _meet(crowded: int):
+    """Rows sorted by (key, num): the pairs of each key's sets as (a, b); of a crowded key its rows as (a, null, key)."""
+
+    def out(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
+        columns = [pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)]
+        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "key"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.empty(0, np.int64), np.empty(0, np.int64))
+        over: list[int] = []  # the crowded key whose rows still come
+        for batch in batches:
+            key, num = (np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in zip((0, 1), held, strict=True))
+            if len(key):
+                # the last key may go on in the next batch
+                end = int(np.searchsorted(key, key[-1]))
+                before = over
+                if key[-1] in over or len(key) - end > crowded:
+                    over, end = [key[-1]], len(key)
+                held = (key[end:], num[end:])
+                yield from _pairs(key[:end], num[:end], before + over)
+        yield from _pairs(*held, over)
+
+    def _pairs(key: np.ndarray, num: np.ndarray, over: list[int]) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[start, len(key)])
+        many = (size > crowded) | np.isin(key[start], over)
+        rows = np.flatnonzero(np.repeat(many, size))
+        if len(rows):
+            yield out(num[rows], None, key[rows])
+        for s in np.unique(size[~many & (size > 1)]).tolist():
+            at = start[~many & (size == s)]
+            i, j = np.triu_indices(s, 1)
+            step = max(1, (1 << 20) // len(i))
+            for a in range(0, len(at), step):
+                yield out(num[(at[a:a + step, None] + i).ravel()], num[(at[a:a + step, None] + j).ravel()], None)
+
+    return run
+
+
+def _signed(members: DataFrame, path: str, bands: int, rows: int, threshold: float) -> DataFrame:
+    """Distinct sets with their number, signature, prefix and map, written below ``path``."""
+    counts = members.select(F.explode("items").alias("x")).groupBy(F.xxhash64("x").alias("h")).count()
+    popular = {int(r[0]): i for i, r in enumerate(counts.orderBy("count", "h", ascending=[False, True]).limit(POPULAR).collect()[::-1])}
+    sets = members.groupBy("f", "cls").agg(F.first("items").alias("items")).select(
+        F.monotonically_increasing_id().alias("num"), "f", "cls", "items", F.size("items").alias("n"), F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"),
+    )
+    schema = "num bigint, f int, cls binary, items array<string>, n int, keys array<bigint>, prefix array<bigint>, n_prefix int, m0 bigint, m1 bigint"
+    map_arrow(sets, _sign(bands, rows, threshold, popular), schema).write.parquet(f"{path}/signed")
+    return members.sparkSession.read.parquet(f"{path}/signed")
+
+
+def _candidates(signed: DataFrame, path: str, crowded: int) -> list[DataFrame]:
+    """Pairs of numbers (a, b) that may be similar, of each round; a pair may come more than once."""
+    spark = signed.sparkSession
+    keyed = signed.select(F.explode("keys").alias("key"), "num")
+    n, top = keyed.agg(F.count(F.lit(1)), F.expr(f"approx_top_k(key, {HUGE_KEYS}, {16 * HUGE_KEYS})")).first()
+    huge = [r["item"] for r in top or [] if r["count"] >= max(HUGE_ROWS, crowded + 1)]
+    prefix = signed.select(F.col("num"), "prefix", "n_prefix")
+    found = []
+    rows, waiting = keyed, None
+    if huge:
+        rows, waiting = keyed.where(~F.col("key").isin(huge)), keyed.where(F.col("key").isin(huge))
+    for depth in (1, 2, 3):
+        met = map_arrow(rows.select("key", "num").repartition("key").sortWithinPartitions("key", "num"), _meet(crowded), "a bigint, b bigint, key bigint")
+        met.write.parquet(f"{path}/met{depth}")
+        met = spark.read.parquet(f"{path}/met{depth}")
+        found.append(met.where("b is not null").select("a", "b"))
+        again = met.where("b is null").select("key", F.col("a").alias("num"))
+        if waiting is not None:
+            again, waiting = again.unionByName(waiting), None
+        if again.isEmpty():
+            return found
+        if depth == 3:
+            break
+        joined = again.join(prefix, "num").select("key", "num", "prefix", "n_prefix")
+        rows = map_arrow(joined, _split(depth), "key bigint, num bigint")
+    # what shares a key and two rare ids, and still is crowded: blocks that meet pairwise
+    size = again.groupBy("key").count().select("key", F.ceil(F.col("count") / F.lit(BLOCK)).cast("int").alias("k"))
+    dealt = lookup_join(again, size, "key", salt_on=["num"]).withColumn("block", F.pmod(F.xxhash64("num"), F.col("k")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
+    x = dealt.select("key", F.col("num").alias("a"), F.col("block").alias("x"), every.alias("y"))
+    y = dealt.select("key", F.col("num").alias("b"), F.col("block").alias("y"), every.alias("x"))
+    found.append(x.join(y, ["key", "x", "y"]).where("a < b").select("a", "b"))
+    return found
+
+
+def _classes(
+    records: DataFrame, id: str, fields: tuple[str, ...], threshold: float, least: int, bands: int, rows: int, crowded: int,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members (cls, id), sets (num, f, cls), links (a, b) between different sets)."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = records.sparkSession
-    least = max(1, least)
-    one = F.explode(F.array(*[F.struct(F.lit(i).alias("field_no"), F.col(f"`{c}`").alias("items")) for i, c in enumerate(fields)])).alias("s")
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"`{c}`").alias("items")) for i, c in enumerate(fields)])).alias("s")
     members = records.where(F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").alias("id"), one).select("id", "s.*")
-    members = members.where(F.size("items") >= least).withColumn("items", F.array_sort("items"))
+    members = members.where(F.size("items") >= max(1, least)).withColumn("items", F.array_sort("items"))
     # the class: 128 bits of the set's unambiguous text form, per field
-    members = members.withColumn("cls", F.unhex(F.md5(F.concat(F.col("field_no").cast("string"), F.to_json("items")))))
+    members = members.withColumn("cls", F.unhex(F.md5(F.concat(F.col("f").cast("string"), F.to_json("items")))))
     path = scratch(spark, "sets")
-    members.select("field_no", "cls", "id", "items").distinct().write.parquet(f"{path}/members")
+    members.select("f", "cls", "id", "items").write.parquet(f"{path}/members")
     members = spark.read.parquet(f"{path}/members")
-
-    popular = {
-        int(r[0]): i for i, r in enumerate(
-            members.select(F.explode("items").alias("x")).groupBy(F.xxhash64("x").alias("h")).count()
-            .orderBy("count", "h", ascending=[False, True]).limit(POPULAR).collect()[::-1]
-        )
-    }
-    sets = members.groupBy("field_no", "cls").agg(F.first("items").alias("items"), F.count(F.lit(1)).alias("n_members"))
-    signed = sets.select(
-        "field_no", "cls", "items", F.size("items").alias("n"), F.ceil(F.col("n_members") / F.lit(BLOCK)).cast("int").alias("n_blocks"),
-        (F.col("n_members") > 1).alias("shared"), F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"),
-    )
-    schema = "cls binary, items array<string>, n int, n_blocks int, shared boolean, keys array<bigint>, prefix array<bigint>, m0 bigint, m1 bigint"
-    with_no = F.col("field_no").alias("f")
-    signed = signed.select("field_no", with_no, "cls", "items", "n", "n_blocks", "shared", "hashes")
-    map_arrow(signed, _sign(bands, rows, threshold, popular), "f int, " + schema).write.parquet(f"{path}/signed")
-    signed = spark.read.parquet(f"{path}/signed")
-
-    carried = ["cls", "n", "m0", "m1"]
-    full = signed.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > crowded).select("key", F.lit(True).alias("full"))
-    full.write.parquet(f"{path}/full")
-    full = spark.read.parquet(f"{path}/full")
-    if full.isEmpty():
-        rows_ = signed.select(*carried, F.explode("keys").alias("key"))
-    else:
-        tagged = lookup_join(signed.select(*carried, "prefix", F.explode("keys").alias("key")), full, "key", how="left", salt_on=["cls"])
-        split = F.when(F.col("full"), F.transform("prefix", lambda p: F.xxhash64("key", p))).otherwise(F.array("key"))
-        rows_ = tagged.select(*carried, F.explode(split).alias("key"))
-    a = rows_.select("key", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("m0").alias("a0"), F.col("m1").alias("a1"))
-    b = rows_.select("key", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("m0").alias("b0"), F.col("m1").alias("b1"))
+    signed = _signed(members, path, bands, rows, threshold)
 
     def missing(x: str, y: str) -> Column:
         """At least so many ids of x are not in y."""
         return sum(F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in (0, 1))
 
-    most = F.least(F.col("na") - missing("a", "b"), F.col("nb") - missing("b", "a"))
-    near = most >= F.lit(threshold) * (F.col("na") + F.col("nb") - most) - F.lit(1e-9)
-    candidates = a.join(b, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-
-    info = signed.select("cls", "f", "items", "n", "n_blocks")
-    pairs = candidates.join(info.select(F.col("cls").alias("a"), "f", F.col("items").alias("ia"), F.col("n_blocks").alias("ka")), "a")
-    pairs = pairs.join(info.select(F.col("cls").alias("b"), F.col("f").alias("fb"), F.col("items").alias("ib"), F.col("n_blocks").alias("kb")), "b")
+    maps = signed.select("num", "f", "n", "m0", "m1")
+    candidates = None
+    for part in _candidates(signed, path, crowded):
+        for x, renamed in (("a", ("fa", "na", "a0", "a1")), ("b", ("fb", "nb", "b0", "b1"))):
+            part = lookup_join(part, maps.toDF(x, *renamed), x, salts=4)
+        most = F.least(F.col("na") - missing("a", "b"), F.col("nb") - missing("b", "a"))
+        near = most >= F.lit(threshold) * (F.col("na") + F.col("nb") - most) - F.lit(1e-9)
+        part = part.where((F.col("fa") == F.col("fb")) & near).select("a", "b")
+        candidates = part if candidates is None else candidates.unionByName(part)
+    items = signed.select("num", "items")
+    pairs = candidates.distinct().join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
     common = F.size(F.array_intersect("ia", "ib"))
-    union = F.size("ia") + F.size("ib") - common
-    pairs = pairs.where((F.col("f") == F.col("fb")) & (common / union >= F.lit(threshold))).select("f", "a", "b", "ka", "kb")
-    same = signed.where("shared").select("f", F.col("cls").alias("a"), F.col("cls").alias("b"), F.col("n_blocks").alias("ka"), F.col("n_blocks").alias("kb"))
-
-    large = signed.where("n_blocks > 1").select("cls", "n_blocks")
-    counted = lookup_join(members.select("cls", "id"), large, "cls", how="left", salt_on=["id"])
-    dealt = counted.select("cls", "id", F.pmod(F.xxhash64("id"), F.coalesce("n_blocks", F.lit(1))).cast("int").alias("block"))
-    links = (
-        pairs.unionByName(same)
+    links = pairs.where(common / (F.size("ia") + F.size("ib") - common) >= F.lit(threshold)).select("a", "b")
+    links.write.parquet(f"{path}/links")
+    return members.select("cls", "id"), signed.select("num", "f", "cls"), spark.read.parquet(f"{path}/links")
+
+
+def similar_classes(
+    records: DataFrame, *, id: str, fields: tuple[str, ...], threshold: float, least: int = 1, bands: int = 16, rows: int = 2, crowded: int = 64,
+) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of the classes of equal sets.
+
+    ``members``: field, id, class, n_links (classes linked with the record's);
+    a row per record and field.  ``links``: field, class_a, class_b of
+    different classes of similarity >= threshold, each once.  However many
+    records hold one set, it is one class, so nothing grows as their square.
+    Defined cases as for ``similar_pairs``.
+    """
+    members, sets, links = _classes(records, id, fields, threshold, least, bands, rows, crowded)
+    name = F.element_at(F.array(*[F.lit(c) for c in fields]), F.col("f") + 1)
+    ends = links.select(F.explode(F.array("a", "b")).alias("num")).groupBy("num").agg(F.count(F.lit(1)).alias("n_links"))
+    known = sets.join(ends, "num", "left").select(name.alias("field"), "cls", F.col("num").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = lookup_join(members.distinct(), known, "cls", salt_on=["id"]).select("field", "id", "class", "n_links")
+    named = links.join(sets.select(F.col("num").alias("a"), name.alias("field")), "a")
+    return out, named.select("field", F.col("a").alias("class_a"), F.col("b").alias("class_b"))
+
+
+def similar_pairs(
+    records: DataFrame, *, id: str, fields: tuple[str, ...], threshold: float, least: int = 1,
+    bands: int = 16, rows: int = 2, crowded: int = 64,
+) -> DataFrame:
+    """Pairs of records whose sets in a field have intersection / union >= threshold.
+
+    ``fields``: array columns holding sets (no repeats, no nulls); sets of fewer
+    than ``least`` ids are left out.  Result: field, id_a, id_b with id_a < id_b,
+    each pair once.  To join two tables, hand in their union with distinct ids.
+
+    Defined cases: null and empty sets are similar to nothing; equal sets are
+    similar; a null id is no record; repeated rows of an id count once; further
+    columns are ignored; an empty table gives no rows.
+    """
+    members, sets, links = _classes(records, id, fields, threshold, least, bands, rows, crowded)
+    held = members.distinct()
+    n_members = held.groupBy("cls").agg(F.count(F.lit(1)).alias("n_members"))
+    blocks = F.ceil(F.col("n_members") / F.lit(BLOCK)).cast("int")
+    shared = n_members.where("n_members > 1").join(sets, "cls").select("num", "f", "cls", blocks.alias("k"))
+    # only classes in a link or with several members leave members
+    ends = links.select(F.explode(F.array("a", "b")).alias("num")).distinct().join(sets, "num").join(n_members, "cls").select("num", "f", "cls", blocks.alias("k"))
+    wanted = ends.unionByName(shared).distinct()
+    pairs = links.join(wanted.select(F.col("num").alias("a"), "f", F.col("k").alias("ka")), "a").join(wanted.select(F.col("num").alias("b"), F.col("k").alias("kb")), "b")
+    same = shared.select(F.col("num").alias("a"), F.col("num").alias("b"), "f", F.col("k").alias("ka"), F.col("k").alias("kb"))
+    dealt = lookup_join(held, wanted, "cls", salt_on=["id"]).select("num", "id", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("block"))
+    out = (
+        pairs.select("a", "b", "f", "ka", "kb").unionByName(same)
         .select("*", F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("ba"))
         .select("*", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("bb"))
-        .join(dealt.select(F.col("cls").alias("a"), F.col("block").alias("ba"), F.col("id").alias("ida")), ["a", "ba"])
-        .join(dealt.select(F.col("cls").alias("b"), F.col("block").alias("bb"), F.col("id").alias("idb")), ["b", "bb"])
+        .join(dealt.select(F.col("num").alias("a"), F.col("block").alias("ba"), F.col("id").alias("ida")), ["a", "ba"])
+        .join(dealt.select(F.col("num").alias("b"), F.col("block").alias("bb"), F.col("id").alias("idb")), ["b", "bb"])
         .where((F.col("a") != F.col("b")) | (F.col("ida") < F.col("idb")))
     )
     name = F.element_at(F.array(*[F.lit(c) for c in fields]), F.col("f") + 1)
-    return links.select(name.alias("field"), F.least("ida", "idb").alias("id_a"), F.greatest("ida", "idb").alias("id_b"))
+    return out.select(name.alias("field"), F.least("ida", "idb").alias("id_a"), F.greatest("ida", "idb").alias("id_b"))

@@ -71,13 +71,10 @@ def similar(rows, fields, t, least):
     return out
 
 
-@pytest.mark.parametrize("crowded", [2, 256])
-@pytest.mark.parametrize("block", [3, 1024])
-def test_similar_pairs_match_brute_force(spark, monkeypatch, crowded, block):
-    monkeypatch.setattr(setsim, "BLOCK", block)
-    rnd = random.Random(crowded)
+def nested(seed, n=150):
+    rnd = random.Random(seed)
     rows = []
-    for i in range(150):
+    for i in range(n):
         base = rnd.sample(range(300), rnd.randrange(4, 15)) + [1000, 1001]  # two ids in every set
         rows.append({"id": f"u{len(rows)}", "x": base, "y": rnd.sample(range(12), rnd.randrange(0, 6))})
         for _ in range(rnd.randrange(3)):  # near copies
@@ -85,13 +82,46 @@ def test_similar_pairs_match_brute_force(spark, monkeypatch, crowded, block):
             rows.append({"id": f"u{len(rows)}", "x": near, "y": rows[-1]["y"]})
     rows += [{"id": f"c{i}", "x": [1, 2, 3, 4, 5], "y": None} for i in range(25)]  # copies
     rows += [{"id": None, "x": [1, 2, 3, 4, 5], "y": []}, {"id": "e", "x": [], "y": None}]
-    rows = [{"id": r["id"], "x": sorted({str(v) for v in r["x"]}), "y": None if r["y"] is None else sorted({str(v) for v in r["y"]})} for r in rows]
-    df = spark.createDataFrame([(r["id"], r["x"], r["y"], 0) for r in rows + rows[-3:]], "id string, x array<string>, y array<string>, items int")
+    return [{"id": r["id"], "x": sorted({str(v) for v in r["x"]}), "y": None if r["y"] is None else sorted({str(v) for v in r["y"]})} for r in rows]
+
+
+SETS = "id string, x array<string>, y array<string>, items int"
+
+
+@pytest.mark.parametrize("crowded, block, huge", [(2, 3, 1 << 17), (64, 1024, 1 << 17), (2, 1024, 3)])
+def test_similar_pairs_match_brute_force(spark, monkeypatch, crowded, block, huge):
+    monkeypatch.setattr(setsim, "BLOCK", block)
+    monkeypatch.setattr(setsim, "HUGE_ROWS", huge)
+    rows = nested(crowded)
+    df = spark.createDataFrame([(r["id"], r["x"], r["y"], 0) for r in rows + rows[-3:]], SETS)
     got = setsim.similar_pairs(df, id="id", fields=("x", "y"), threshold=0.7, least=4, crowded=crowded).collect()
     want = similar(rows, ("x", "y"), 0.7, 4)
     assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == want and len(want) > 300
 
 
+def test_crowded_small_sets_at_a_low_threshold(spark):
+    """Sets of one and two ids that share one only are similar at 0.4, however often their key is split."""
+    rows = [{"id": f"s{i}", "x": x, "y": None} for i, x in enumerate([["a"], *(["a", f"b{j}"] for j in range(30)), ["a", "b1", "c"], ["a", "b2", "c", "d"]])]
+    df = spark.createDataFrame([(r["id"], r["x"], None, 0) for r in rows], SETS)
+    got = setsim.similar_pairs(df, id="id", fields=("x",), threshold=0.4, bands=40, rows=1, crowded=2).collect()
+    assert {tuple(r) for r in got} == similar(rows, ("x",), 0.4, 1)
+
+
+def test_similar_classes(spark):
+    rows = nested(5)
+    df = spark.createDataFrame([(r["id"], r["x"], r["y"], 0) for r in rows + rows[-3:]], SETS)
+    members, links = (d.collect() for d in setsim.similar_classes(df, id="id", fields=("x", "y"), threshold=0.7, least=4))
+    of = {}
+    for r in members:
+        of.setdefault((r["field"], r["class"]), []).append(r["id"])
+    pairs = {(f, *sorted((a, b))) for (f, _), ids in of.items() for a, b in combinations(ids, 2)}
+    for r in links:
+        pairs |= {(r["field"], *sorted((a, b))) for a in of[r["field"], r["class_a"]] for b in of[r["field"], r["class_b"]]}
+    assert pairs == similar(rows, ("x", "y"), 0.7, 4) and len(members) == len({(r["field"], r["id"]) for r in members})
+    ends = [c for r in links for c in (r["class_a"], r["class_b"])]
+    assert all(r["n_links"] == ends.count(r["class"]) for r in members)
+
+
 def test_similar_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "id string, x array<string>")
     assert setsim.similar_pairs(df, id="id", fields=("x",), threshold=0.7).count() == 0
