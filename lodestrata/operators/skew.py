@@ -27,15 +27,15 @@ def row_bytes(df: DataFrame):
 
 
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Whether ``df`` is small enough to be broadcast; at most ``max_rows`` + 1 of its rows are measured."""
-    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
+    """Whether ``df`` is small enough to be broadcast, measured in one pass without moving a row."""
+    n, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(row_bytes(df)), F.lit(0))).first()
     return n <= max_rows and size <= max_bytes
 
 
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
-    key: str,
+    key: str | list[str],
     *,
     how: str = "inner",
     max_broadcast_rows: int = BROADCAST_ROWS,
@@ -51,10 +51,11 @@ def lookup_join(
     """
     if fits(right, max_broadcast_rows):
         return left.join(F.broadcast(right), key, how)
-    over = salt_on or [c for c in left.columns if c != key]
+    keys = [key] if isinstance(key, str) else list(key)
+    over = salt_on or [c for c in left.columns if c not in keys]
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in over]), F.lit(salts)))
     repeated = right.withColumn("__salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(salts)])))
-    return salted.join(repeated, [key, "__salt"], how).drop("__salt")
+    return salted.join(repeated, [*keys, "__salt"], how).drop("__salt")
 
 
 def split_join(left: DataFrame, right: DataFrame, key: str, part_rows: int | None = None) -> DataFrame:
@@ -76,3 +77,9 @@ def split_join(left: DataFrame, right: DataFrame, key: str, part_rows: int | Non
         return lookup_join(side, crowded, key, how="left").withColumn(f"{mine}part", own).withColumn(f"{other}part", every).drop("__l", "__r")
 
     return dealt(left, "__l", "__r").join(dealt(right, "__r", "__l"), [key, "__lpart", "__rpart"]).drop("__lpart", "__rpart")
+
+
+def crowded_values(df: DataFrame, column: str, least_rows: int, most: int = 256) -> list:
+    """Values of ``column`` with at least ``least_rows`` rows, found in one pass by a summary of bounded size (at most ``most`` of them)."""
+    top = df.agg(F.expr(f"approx_top_k(`{column}`, {most}, {64 * most})").alias("top")).first()["top"]
+    return [r["item"] for r in top or [] if r["count"] >= least_rows]

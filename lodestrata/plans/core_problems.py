@@ -23,14 +23,17 @@ def _merged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    """Every live record once, as merged into the consolidated runs."""
+    """Every live record once, read back from the consolidated files."""
     return _merged(spark, folder).select("level", "table_id", "rec_no")
 
 
 def p3_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The consolidated files: key range, records and bytes of each."""
-    files = run_metadata(_merged(spark, folder))
-    return files.withColumns({"min_key": F.hex("min_key"), "max_key": F.hex("max_key")})
+    """The consolidated files of each level: how many, records, bytes and key range."""
+    files = run_metadata(_merged(spark, folder)).groupBy("level").agg(
+        F.count(F.lit(1)).alias("n_files"), F.sum("n_records").alias("n_records"), F.sum("n_bytes").alias("n_bytes"),
+        F.hex(F.min("min_key")).alias("min_key"), F.hex(F.max("max_key")).alias("max_key"),
+    )
+    return files
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,6 +68,15 @@ SQL = {
         select distinct l.level, r.table_id, r.rec_no
         from sst_record r join live l on l.id = r.table_id
         where r.rec_no is not null""",
+    "p3_files": f"""
+        with live as ({_LIVE}),
+        once as (select l.level, r.table_id, r.rec_no, arg_min(r.key, r.file_name) as key,
+                 29 + coalesce(octet_length(arg_min(r.key, r.file_name)), 0)
+                    + coalesce(arg_min(coalesce(octet_length(r.value), 0), r.file_name), 0) as n_bytes
+          from sst_record r join live l on l.id = r.table_id where r.rec_no is not null group by 1, 2, 3)
+        select level, cast(ceil(sum(n_bytes) / 134217728.0) as bigint) as n_files, count(*) as n_records, cast(sum(n_bytes) as bigint) as n_bytes,
+               hex(min(key)) as min_key, hex(max(key)) as max_key
+        from once group by 1""",
     "p6_found": """
         with e as (
           select trim(user_id) as user_id, trim(follower) as follower, min(seq) as seq

@@ -1,5 +1,8 @@
 """Run consolidation: nothing lost, nothing twice, sorted, sized."""
 
+import random
+
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from lodestrata.operators import consolidate as C
@@ -23,36 +26,69 @@ def data(spark):
 WANT = {(t, n) for t in (1, 2, 3, 4) for n in range(40)} | {(2, 100)}
 
 
-def test_each_live_record_once(spark):
-    for limit in (1000, 0):  # broadcast and salted join
+def test_each_live_record_once(spark, monkeypatch):
+    for limit, crowded, part in ((1000, 1 << 17, 4096), (0, 30, 7)):  # broadcast and salted join; copies removed before they meet, tables in parts
+        monkeypatch.setattr(C, "CROWDED_ROWS", crowded)
+        monkeypatch.setattr(C, "RUN_RECORDS", part)
         records, live = data(spark)
-        got = C.consolidate(records, live, 200, max_broadcast_rows=limit).collect()
+        got = C.consolidate(records.repartition(3), live, target_bytes=200, max_broadcast_rows=limit).collect()
         assert len(got) == len(WANT) and {(r["table_id"], r["rec_no"]) for r in got} == WANT
         assert {r["level"] for r in got if r["table_id"] == 4} == {None}
+        kept = {(r["table_id"], r["rec_no"]): r["value"] for r in got}
+        assert kept[1, 0] is None and bytes(kept[1, 2]) == b"vv"
 
 
-def test_outputs_are_sorted_and_rolled_by_bytes(spark):
-    records, live = data(spark)
-    got = C.merge_runs(C.live_records(records, live), 400, ranges=3).collect()
-    files = {}
-    for r in got:
-        files.setdefault((r["level"], r["range_no"], r["roll_no"]), []).append(r)
-    for name, rows in files.items():
-        keys = [(bytes(r["key"] or b""), r["table_id"], r["rec_no"]) for r in rows]
-        assert keys == sorted(keys)
-        sizes = [r["n_bytes"] for r in rows]
-        assert sum(sizes[:-1]) < 400  # full only with its last record
-        later = (name[0], name[1], name[2] + 1)
-        assert later not in files or sum(sizes) >= 400
-
-
-def test_write_and_metadata(spark, tmp_path):
-    records, live = data(spark)
-    meta = C.write_runs(C.consolidate(records, live, 500), str(tmp_path / "out")).collect()
-    assert sum(r["n_records"] for r in meta) == len(WANT)
-    assert all(r["min_key"] is None or r["min_key"] <= r["max_key"] for r in meta)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert {(r[0], r[1]) for r in back.select("table_id", "rec_no").collect()} == WANT
+def random_records(spark, n=6000, seed=2):
+    """One key holds a third of all records; files hold parts of their table in any order, some twice."""
+    rnd = random.Random(seed)
+    rows = []
+    for t in range(60):
+        for i in range(n // 60):
+            key = b"hot" if rnd.random() < 0.33 else bytes(rnd.randrange(256) for _ in range(4))
+            row = (t, i, key, b"v" * rnd.randrange(60), 0, 0)
+            rows += [(f"{t}-{f}.sst", *row) for f in range(2 if rnd.random() < 0.2 else 1)]
+    rnd.shuffle(rows)
+    live = [(t, t % 3) for t in range(60)]
+    return spark.createDataFrame(rows, "file_name string, table_id bigint, rec_no int, key binary, value binary, expires_at bigint, meta tinyint"), spark.createDataFrame(live, "table_id bigint, level int")
+
+
+def test_files_have_the_wanted_size_whatever_the_session(spark, tmp_path):
+    records, live = random_records(spark)
+    for parts in ("1", "7"):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            files = C.run_metadata(C.consolidate(records, live, str(tmp_path / parts), 20_000)).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+        for level in range(3):
+            mine = sorted((r for r in files if r["level"] == level), key=lambda r: r["file_no"])
+            assert len(mine) >= 6 and all(18_000 <= r["n_bytes"] <= 22_000 for r in mine[:-1])
+            assert all(bytes(a["max_key"]) <= bytes(b["min_key"]) for a, b in zip(mine, mine[1:]))
+        # a file on disk each, in merged order
+        written = sorted((tmp_path / parts).glob("*.parquet"))
+        assert len([f for f in written if pq.read_metadata(f).num_rows]) == len(files)
+        for f in written:
+            t = pq.read_table(f, columns=["level", "file_no", "key", "table_id", "rec_no"]).to_pylist()
+            assert len({r["file_no"] for r in t}) <= 1
+            places = [(r["level"], r["key"], r["table_id"], r["rec_no"]) for r in t]
+            assert places == sorted(places)
+    assert sum(r["n_records"] for r in files) == 6000
+
+
+def test_runs_are_sorted_and_whole(spark, tmp_path):
+    records, live = random_records(spark, 600)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "13")  # runs that go on in the next batch
+    try:
+        runs = C.read_runs(C.live_rows(records, live), str(tmp_path / "runs")).collect()
+    finally:
+        spark.conf.set(name, old)
+    assert sorted(r["table_id"] for r in runs) == list(range(60))
+    for r in runs:
+        places = [(bytes(k), n) for k, n in zip(r["key"], r["rec_no"])]
+        assert places == sorted(places) and sorted(r["rec_no"]) == list(range(10))
 
 
 def test_empty_tables(spark):
