@@ -20,8 +20,9 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """The same pairs with their counts."""
-    return _together(spark, folder).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "n_ab", "n_a", "n_b", "n")
+    """The same pairs with their counts, lift and conviction."""
+    got = _together(spark, folder)
+    return got.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"), "n_ab", "n_a", "n_b", "n", F.round("lift", 6).alias("lift"), F.round("conviction", 6).alias("conviction"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -86,7 +87,9 @@ _PAIRS = f"""
     c as (select item, count(*) as n_item from f group by 1),
     p as (select x.item as id_a, y.item as id_b, count(*) as n_ab
           from f x join f y on x.id = y.id and x.item < y.item group by 1, 2 having count(*) >= 8)
-    select id_a, id_b, n_ab, a.n_item as n_a, b.n_item as n_b, n.n
+    select id_a, id_b, n_ab, a.n_item as n_a, b.n_item as n_b, n.n,
+           round(n_ab::double * n.n / (a.n_item::double * b.n_item), 6) as lift,
+           case when n_ab < a.n_item then round((1 - b.n_item::double / n.n) / (1 - n_ab::double / a.n_item), 6) end as conviction
     from p join c a on a.item = id_a join c b on b.item = id_b cross join n
     where n_ab * n.n >= 3.0 * a.n_item * b.n_item"""
 

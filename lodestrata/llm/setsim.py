@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.operators.skew import lookup_join
-from lodestrata.session import map_arrow, scratch
+from lodestrata.operators.skew import fits, lookup_join
+from lodestrata.session import cut, map_arrow, scratch
 
 #: Members of a class in one block of the expansion, and sets of a key in one block.
 BLOCK = 1024
@@ -179,34 +179,34 @@ def _meet(crowded: int):
     return run
 
 
-def _signed(members: DataFrame, path: str, bands: int, rows: int, threshold: float) -> DataFrame:
-    """Distinct sets with their number, signature, prefix and map, written below ``path``."""
-    counts = members.select(F.explode("items").alias("x")).groupBy(F.xxhash64("x").alias("h")).count()
-    popular = {int(r[0]): i for i, r in enumerate(counts.orderBy("count", "h", ascending=[False, True]).limit(POPULAR).collect()[::-1])}
-    sets = members.groupBy("f", "cls").agg(F.first("items").alias("items")).select(
-        F.monotonically_increasing_id().alias("num"), "f", "cls", "items", F.size("items").alias("n"), F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"),
-    )
-    schema = "num bigint, f int, cls binary, items array<string>, n int, keys array<bigint>, prefix array<bigint>, n_prefix int, m0 bigint, m1 bigint"
-    map_arrow(sets, _sign(bands, rows, threshold, popular), schema).write.parquet(f"{path}/signed")
-    return members.sparkSession.read.parquet(f"{path}/signed")
+def _signed(sets: DataFrame, path: str, bands: int, rows: int, threshold: float) -> DataFrame:
+    """The sets with signature, prefix and map, written below ``path``."""
+    h = sets.select(F.explode("items").alias("x")).select(F.xxhash64("x").alias("h"))
+    top = h.agg(F.expr(f"approx_top_k(h, {POPULAR}, {16 * POPULAR})")).first()[0] or []  # most frequent first; the order decides nothing but speed
+    popular = {r["item"]: i for i, r in enumerate(reversed(top))}
+    hashed = sets.select("num", "f", "items", F.size("items").alias("n"), F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"))
+    schema = "num bigint, f int, items array<string>, n int, keys array<bigint>, prefix array<bigint>, n_prefix int, m0 bigint, m1 bigint"
+    map_arrow(hashed, _sign(bands, rows, threshold, popular), schema).write.parquet(f"{path}/signed")
+    return sets.sparkSession.read.parquet(f"{path}/signed")
 
 
-def _candidates(signed: DataFrame, path: str, crowded: int) -> list[DataFrame]:
-    """Pairs of numbers (a, b) that may be similar, of each round; a pair may come more than once."""
+def _candidates(signed: DataFrame, path: str, crowded: int) -> DataFrame:
+    """Pairs of numbers (a, b) that may be similar; a pair may come more than once."""
     spark = signed.sparkSession
     keyed = signed.select(F.explode("keys").alias("key"), "num")
     n, top = keyed.agg(F.count(F.lit(1)), F.expr(f"approx_top_k(key, {HUGE_KEYS}, {16 * HUGE_KEYS})")).first()
     huge = [r["item"] for r in top or [] if r["count"] >= max(HUGE_ROWS, crowded + 1)]
     prefix = signed.select(F.col("num"), "prefix", "n_prefix")
-    found = []
+    found, names = None, []
     rows, waiting = keyed, None
     if huge:
         rows, waiting = keyed.where(~F.col("key").isin(huge)), keyed.where(F.col("key").isin(huge))
     for depth in (1, 2, 3):
         met = map_arrow(rows.select("key", "num").repartition("key").sortWithinPartitions("key", "num"), _meet(crowded), "a bigint, b bigint, key bigint")
-        met.write.parquet(f"{path}/met{depth}")
-        met = spark.read.parquet(f"{path}/met{depth}")
-        found.append(met.where("b is not null").select("a", "b"))
+        names.append(f"{path}/met{depth}")
+        met.write.parquet(names[-1])
+        met = spark.read.schema(met.schema).parquet(names[-1])
+        found = spark.read.schema(met.schema).parquet(*names).where("b is not null").select("a", "b")
         again = met.where("b is null").select("key", F.col("a").alias("num"))
         if waiting is not None:
             again, waiting = again.unionByName(waiting), None
@@ -222,46 +222,49 @@ def _candidates(signed: DataFrame, path: str, crowded: int) -> list[DataFrame]:
     every = F.explode(F.sequence(F.lit(0), F.col("k") - 1))
     x = dealt.select("key", F.col("num").alias("a"), F.col("block").alias("x"), every.alias("y"))
     y = dealt.select("key", F.col("num").alias("b"), F.col("block").alias("y"), every.alias("x"))
-    found.append(x.join(y, ["key", "x", "y"]).where("a < b").select("a", "b"))
-    return found
+    return found.unionByName(x.join(y, ["key", "x", "y"]).where("a < b").select("a", "b"))
 
 
 def _classes(
     records: DataFrame, id: str, fields: tuple[str, ...], threshold: float, least: int, bands: int, rows: int, crowded: int,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(members (cls, id), sets (num, f, cls), links (a, b) between different sets)."""
+) -> tuple[DataFrame, DataFrame]:
+    """(members (num, f, id) of each class, links (a, b) between different classes); a class is named by the number of one of its rows."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
     spark = records.sparkSession
     one = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"`{c}`").alias("items")) for i, c in enumerate(fields)])).alias("s")
-    members = records.where(F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").alias("id"), one).select("id", "s.*")
-    members = members.where(F.size("items") >= max(1, least)).withColumn("items", F.array_sort("items"))
-    # the class: 128 bits of the set's unambiguous text form, per field
-    members = members.withColumn("cls", F.unhex(F.md5(F.concat(F.col("f").cast("string"), F.to_json("items")))))
+    src = records.where(F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").alias("id"), one).select("id", "s.*")
+    src = src.where(F.size("items") >= max(1, least)).withColumn("items", F.array_sort("items"))
     path = scratch(spark, "sets")
-    members.select("f", "cls", "id", "items").write.parquet(f"{path}/members")
+    # 128 bits name a set; rows are numbered as they are written
+    named = src.withColumns({"num": F.monotonically_increasing_id(), "c1": F.xxhash64("items"), "c2": F.xxhash64(F.lit(7919), "items")})
+    named.write.parquet(f"{path}/members")
     members = spark.read.parquet(f"{path}/members")
-    signed = _signed(members, path, bands, rows, threshold)
+    narrow, cls = members.select("num", "f", "c1", "c2", "id"), ["f", "c1", "c2"]
+    several = cut(narrow.groupBy(*cls).agg(F.min("num").alias("rep"), F.count(F.lit(1)).alias("rows")).where("rows > 1").drop("rows"))
+    copies = cut(lookup_join(narrow, several, cls, salt_on=["num"]).select("num", "rep", "f", "id"))
+    others = copies.where("num <> rep").select("num")
+    signed = _signed(lookup_join(members, others, "num", how="left_anti", salts=1).select("num", "f", "items"), path, bands, rows, threshold)
 
     def missing(x: str, y: str) -> Column:
         """At least so many ids of x are not in y."""
         return sum(F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in (0, 1))
 
     maps = signed.select("num", "f", "n", "m0", "m1")
-    candidates = None
-    for part in _candidates(signed, path, crowded):
-        for x, renamed in (("a", ("fa", "na", "a0", "a1")), ("b", ("fb", "nb", "b0", "b1"))):
-            part = lookup_join(part, maps.toDF(x, *renamed), x, salts=4)
-        most = F.least(F.col("na") - missing("a", "b"), F.col("nb") - missing("b", "a"))
-        near = most >= F.lit(threshold) * (F.col("na") + F.col("nb") - most) - F.lit(1e-9)
-        part = part.where((F.col("fa") == F.col("fb")) & near).select("a", "b")
-        candidates = part if candidates is None else candidates.unionByName(part)
+    small, found = fits(maps), _candidates(signed, path, crowded)
+    for x, renamed in (("a", ("fa", "na", "a0", "a1")), ("b", ("fb", "nb", "b0", "b1"))):
+        side = maps.toDF(x, *renamed)
+        found = found.join(F.broadcast(side) if small else side, x)  # a set has at most crowded partners a key
+    most = F.least(F.col("na") - missing("a", "b"), F.col("nb") - missing("b", "a"))
+    near = most >= F.lit(threshold) * (F.col("na") + F.col("nb") - most) - F.lit(1e-9)
+    candidates = found.where((F.col("fa") == F.col("fb")) & near).select("a", "b").distinct()
     items = signed.select("num", "items")
-    pairs = candidates.distinct().join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
+    pairs = candidates.join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
     common = F.size(F.array_intersect("ia", "ib"))
     links = pairs.where(common / (F.size("ia") + F.size("ib") - common) >= F.lit(threshold)).select("a", "b")
-    links.write.parquet(f"{path}/links")
-    return members.select("cls", "id"), signed.select("num", "f", "cls"), spark.read.parquet(f"{path}/links")
+    held = lookup_join(narrow.select("num", "f", "id"), copies.select("num"), "num", how="left_anti", salts=1)
+    held = held.unionByName(copies.select(F.col("rep").alias("num"), "f", "id").distinct())
+    return held, cut(links)
 
 
 def similar_classes(
@@ -275,13 +278,12 @@ def similar_classes(
     records hold one set, it is one class, so nothing grows as their square.
     Defined cases as for ``similar_pairs``.
     """
-    members, sets, links = _classes(records, id, fields, threshold, least, bands, rows, crowded)
-    name = F.element_at(F.array(*[F.lit(c) for c in fields]), F.col("f") + 1)
+    members, links = _classes(records, id, fields, threshold, least, bands, rows, crowded)
+    name = F.element_at(F.array(*[F.lit(c) for c in fields]), F.col("f") + 1).alias("field")
     ends = links.select(F.explode(F.array("a", "b")).alias("num")).groupBy("num").agg(F.count(F.lit(1)).alias("n_links"))
-    known = sets.join(ends, "num", "left").select(name.alias("field"), "cls", F.col("num").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = lookup_join(members.distinct(), known, "cls", salt_on=["id"]).select("field", "id", "class", "n_links")
-    named = links.join(sets.select(F.col("num").alias("a"), name.alias("field")), "a")
-    return out, named.select("field", F.col("a").alias("class_a"), F.col("b").alias("class_b"))
+    out = lookup_join(members, cut(ends), "num", how="left", salt_on=["id"])
+    named = links.join(members.select(F.col("num").alias("a"), name).distinct(), "a")
+    return out.select(name, "id", F.col("num").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links")), named.select("field", F.col("a").alias("class_a"), F.col("b").alias("class_b"))
 
 
 def similar_pairs(
@@ -298,22 +300,18 @@ def similar_pairs(
     similar; a null id is no record; repeated rows of an id count once; further
     columns are ignored; an empty table gives no rows.
     """
-    members, sets, links = _classes(records, id, fields, threshold, least, bands, rows, crowded)
-    held = members.distinct()
-    n_members = held.groupBy("cls").agg(F.count(F.lit(1)).alias("n_members"))
-    blocks = F.ceil(F.col("n_members") / F.lit(BLOCK)).cast("int")
-    shared = n_members.where("n_members > 1").join(sets, "cls").select("num", "f", "cls", blocks.alias("k"))
-    # only classes in a link or with several members leave members
-    ends = links.select(F.explode(F.array("a", "b")).alias("num")).distinct().join(sets, "num").join(n_members, "cls").select("num", "f", "cls", blocks.alias("k"))
-    wanted = ends.unionByName(shared).distinct()
-    pairs = links.join(wanted.select(F.col("num").alias("a"), "f", F.col("k").alias("ka")), "a").join(wanted.select(F.col("num").alias("b"), F.col("k").alias("kb")), "b")
-    same = shared.select(F.col("num").alias("a"), F.col("num").alias("b"), "f", F.col("k").alias("ka"), F.col("k").alias("kb"))
-    dealt = lookup_join(held, wanted, "cls", salt_on=["id"]).select("num", "id", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("block"))
+    members, links = _classes(records, id, fields, threshold, least, bands, rows, crowded)
+    several = members.groupBy("num").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("num", F.ceil(F.col("n") / F.lit(BLOCK)).cast("int").alias("k"))
+    several = cut(several)
+    # members of a class beyond BLOCK are dealt over blocks, and each pair of blocks meets once
+    large = several.where("k > 1")
+    dealt = lookup_join(members, large, "num", how="left", salt_on=["id"]).withColumn("k", F.coalesce("k", F.lit(1)))
+    dealt = dealt.select("num", "f", "id", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("block"))
+    both = links.unionByName(several.select(F.col("num").alias("a"), F.col("num").alias("b")))
+    for x in ("a", "b"):
+        both = lookup_join(both, large.toDF(x, f"k{x}"), x, how="left").withColumn(f"b{x}", F.explode(F.sequence(F.lit(0), F.coalesce(f"k{x}", F.lit(1)) - 1)))
     out = (
-        pairs.select("a", "b", "f", "ka", "kb").unionByName(same)
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("ka") - 1)).alias("ba"))
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("kb") - 1)).alias("bb"))
-        .join(dealt.select(F.col("num").alias("a"), F.col("block").alias("ba"), F.col("id").alias("ida")), ["a", "ba"])
+        both.join(dealt.select(F.col("num").alias("a"), "f", F.col("block").alias("ba"), F.col("id").alias("ida")), ["a", "ba"])
         .join(dealt.select(F.col("num").alias("b"), F.col("block").alias("bb"), F.col("id").alias("idb")), ["b", "bb"])
         .where((F.col("a") != F.col("b")) | (F.col("ida") < F.col("idb")))
     )

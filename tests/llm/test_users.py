@@ -36,9 +36,10 @@ def pairs(rows, least, lift):
     return {(a, b, c, single[a], single[b], n) for (a, b), c in joint.items() if c >= least and c * n >= lift * single[a] * single[b]}
 
 
-@pytest.mark.parametrize("block", [7, 256])
+@pytest.mark.parametrize("block, most", [(7, 1000), (256, 1000), (256, 5)])
 @pytest.mark.parametrize("lift", ["0", "1", "3.0"])
-def test_pairs_match_brute_force(spark, block, lift):
+def test_pairs_match_brute_force(spark, monkeypatch, block, most, lift):
+    monkeypatch.setattr(cooccur, "CODED_ITEMS", most)  # handed to every task, or joined
     rows = baskets(3)
     df = spark.createDataFrame([(r, 1) for r in rows] + [(None, 1), ([], 1)], "items array<string>, weight int")
     got = cooccur.together(df, "items", min_count=8, min_lift=lift, block=block).collect()
