@@ -26,6 +26,7 @@ class Options:
     """Tunables of a store; sizes in bytes. Defaults are the usual ones of such engines."""
 
     value_threshold: int = 1024
+    value_file_bytes: int = 64 << 20
     max_batch_count: int = 10_000
     max_batch_size: int = 1 << 20
     base_level_size: int = 10 << 20

@@ -31,21 +31,26 @@ class Targets:
     run_bytes: tuple[int, ...]
 
 
+def run_bytes(level: int, opt: Options = Options(), base: int = 1) -> int:
+    """Wanted bytes of a run: L0 runs are memory tables; below the base level each level's runs are a multiple larger."""
+    return opt.memtable_size if level == 0 else opt.base_table_size * opt.table_multiplier ** max(0, level - base)
+
+
 def targets(sizes: Sequence[int], opt: Options = Options()) -> Targets:
-    """Targets from the levels' sizes: the last level sets the scale, each above is a multiple smaller."""
-    n = len(sizes)
-    scale = [0] * n
-    for level in range(n - 1, 0, -1):
-        scale[level] = sizes[-1] // opt.level_multiplier ** (n - 1 - level)
-    wanted = [0] + [max(s, opt.base_level_size) for s in scale[1:]]
-    at_base = [level for level in range(1, n) if wanted[level] <= opt.base_level_size]
-    base = at_base[-1] if at_base else 0
-    runs = [opt.memtable_size] + [
-        opt.base_table_size * opt.table_multiplier ** max(0, level - base) for level in range(1, n)
-    ]
-    if 0 < base < n - 1 and sizes[base] == 0 and sizes[base + 1] < wanted[base + 1]:
-        base += 1  # an empty base above a level that is not full
-    return Targets(base, tuple(wanted), tuple(runs))
+    """Targets from the levels' sizes.
+
+    A level may hold its share of the last one's bytes, a multiple less for each
+    level in between, but not less than the base size.  L0 compacts into the
+    deepest level that needs no more than the base size, or into the one below
+    if that one is empty above a level with room.
+    """
+    last = len(sizes) - 1
+    room = {i: max(opt.base_level_size, sizes[last] // opt.level_multiplier ** (last - i)) for i in range(1, last + 1)}
+    base = max((i for i in room if room[i] == opt.base_level_size), default=0)
+    runs = tuple(run_bytes(i, opt, base) for i in range(last + 1))
+    if 0 < base < last and not sizes[base] and sizes[base + 1] < room[base + 1]:
+        base += 1
+    return Targets(base, (0, *room.values()), runs)
 
 
 @dataclass(frozen=True)
@@ -61,18 +66,16 @@ def priorities(sizes: Sequence[int], l0_runs: int, opt: Options = Options()) ->
     """Levels worth compacting, most urgent first.
 
     A score is the size against the target (L0: runs against their limit).  A
-    level above a full one is less urgent: its score is divided by the next one's.
+    level that must move is less urgent the fuller the level it moves into is:
+    its score counts relative to that level's, which counts as 0.01 at least.
     """
     t = targets(sizes, opt)
-    score = [l0_runs / opt.l0_tables] + [sizes[i] / t.level_bytes[i] for i in range(1, len(sizes))]
-    adjusted = list(score)
-    above = 0
-    for level in range(max(t.base, 1), len(sizes)):
-        if adjusted[above] >= 1:
-            adjusted[above] /= adjusted[level] if score[level] >= 0.01 else 0.01
-        above = level
-    out = [Priority(i, score[i], adjusted[i]) for i in range(len(sizes) - 1) if score[i] >= 1]
-    return sorted(out, key=lambda p: -p.adjusted)
+    score = {0: l0_runs / opt.l0_tables} | {i: sizes[i] / t.level_bytes[i] for i in range(1, len(sizes))}
+    chain = [0, *range(max(t.base, 1), len(sizes))]  # each level moves into the one after it
+    into = dict(zip(chain, chain[1:], strict=False))
+    relative = {i: s / max(score[into[i]], 0.01) if s >= 1 and i in into else s for i, s in score.items()}
+    full = [Priority(i, score[i], relative[i]) for i in range(len(sizes) - 1) if score[i] >= 1]
+    return sorted(full, key=lambda p: -p.adjusted)
 
 
 def l0_first(todo: Sequence[Priority]) -> list[Priority]:
@@ -85,8 +88,8 @@ def overlapping(runs: Sequence[Run], lo: bytes, hi: bytes) -> list[Run]:
     return [r for r in runs if r.lo <= hi and lo <= r.hi]
 
 
-def pick_l0(l0: Sequence[Run], base: Sequence[Run]) -> tuple[list[Run], list[Run]]:
-    """(top, bottom): the longest oldest-first chain of overlapping L0 runs, and the base runs it meets."""
+def pick_l0(l0: Sequence[Run], base: Sequence[Run], busy: Sequence[tuple[bytes, bytes]] = ()) -> tuple[list[Run], list[Run]]:
+    """(top, bottom): the longest oldest-first chain of overlapping L0 runs, and the base runs it meets; none where another job is."""
     top: list[Run] = []
     for run in l0:
         if top and not overlapping([run], min(r.lo for r in top), max(r.hi for r in top)):
@@ -94,7 +97,9 @@ def pick_l0(l0: Sequence[Run], base: Sequence[Run]) -> tuple[list[Run], list[Run
         top.append(run)
     if not top:
         return [], []
-    return top, overlapping(base, min(r.lo for r in top), max(r.hi for r in top))
+    bottom = overlapping(base, min(r.lo for r in top), max(r.hi for r in top))
+    lo, hi = min(r.lo for r in top + bottom), max(r.hi for r in top + bottom)
+    return ([], []) if any(a <= hi and lo <= b for a, b in busy) else (top, bottom)
 
 
 def pick_l0_to_l0(l0: Sequence[Run], run_bytes: int, now: float, min_age: float = 10.0, at_least: int = 4) -> list[Run]:

@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestrata.sources.store import KVTable
 
 
-def ingest(changes: DataFrame, table: KVTable, checkpoint: str, *, available_now: bool = True, compact_every: int = 0, now: int = 0) -> StreamingQuery:
+def ingest(changes: DataFrame, table: KVTable, checkpoint: str, *, available_now: bool = True, compact_every: int = 0, now: int | None = None) -> StreamingQuery:
     """Append each micro-batch of ``changes`` (schema ``LOG``) to ``table`` as one commit.
 
-    Replayed batches are harmless: their entries keep their seq, and newest
-    wins.  ``compact_every`` n: a compaction is tried after every n batches.
+    The commit names the batch, so one that is replayed after a crash is not
+    written again.  ``compact_every`` n: a compaction is tried after every n
+    batches, at the time ``now`` (the clock's, unless given).
     """
 
     def one(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            table.write(batch)
+        table.write(batch, batch=(checkpoint, number))
         if compact_every and number % compact_every == compact_every - 1:
-            table.compact(now)
+            table.compact(int(time.time()) if now is None else now)
 
     writer = changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
