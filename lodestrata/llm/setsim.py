@@ -23,6 +23,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -39,6 +40,8 @@ BLOCK = 1024
 POPULAR = 4096
 #: Keys with so many sets are split before they meet; at most so many such keys are named.
 HUGE_ROWS, HUGE_KEYS = 1 << 17, 1024
+#: Sets whose maps (28 bytes each) are handed to every task, so that it drops pairs where they arise; beyond, the maps are joined.
+MAPPED_SETS = 3_000_000
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -138,8 +141,26 @@ def _split(depth: int):
     return run
 
 
-def _meet(crowded: int):
-    """Rows sorted by (key, num): the pairs of each key's sets as (a, b); of a crowded key its rows as (a, null, key)."""
+@dataclass(frozen=True)
+class _Maps:
+    """Number, field, size and map of every set, by number."""
+
+    num: np.ndarray
+    f: np.ndarray
+    n: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    def near(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether sets may be similar: ids missing in the other, as the maps show, bound what they share."""
+        i, j = np.searchsorted(self.num, a), np.searchsorted(self.num, b)
+        missing = lambda x, y: sum(np.bitwise_count(m[x] & ~m[y]).astype(np.int32) for m in (self.low, self.high))
+        most = np.minimum(self.n[i] - missing(i, j), self.n[j] - missing(j, i))
+        return (self.f[i] == self.f[j]) & (most >= threshold * (self.n[i] + self.n[j] - most) - 1e-9)
+
+
+def _meet(crowded: int, threshold: float, maps):
+    """Rows sorted by key: the pairs of each key's sets as (a, b), those that ``maps`` rules out left away; of a crowded key its rows as (a, null, key)."""
 
     def out(a: np.ndarray, b: np.ndarray | None, key: np.ndarray | None) -> pa.RecordBatch:
         columns = [pa.array(a), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b), pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)]
@@ -174,7 +195,13 @@ def _meet(crowded: int):
             i, j = np.triu_indices(s, 1)
             step = max(1, (1 << 20) // len(i))
             for a in range(0, len(at), step):
-                yield out(num[(at[a:a + step, None] + i).ravel()], num[(at[a:a + step, None] + j).ravel()], None)
+                x, y = (num[(at[a:a + step, None] + k).ravel()] for k in (i, j))
+                x, y = np.minimum(x, y), np.maximum(x, y)
+                x, y = x[x < y], y[x < y]
+                if maps is not None:
+                    near = maps.value.near(x, y, threshold)
+                    x, y = x[near], y[near]
+                yield out(x, y, None)
 
     return run
 
@@ -184,13 +211,13 @@ def _signed(sets: DataFrame, path: str, bands: int, rows: int, threshold: float)
     h = sets.select(F.explode("items").alias("x")).select(F.xxhash64("x").alias("h"))
     top = h.agg(F.expr(f"approx_top_k(h, {POPULAR}, {16 * POPULAR})")).first()[0] or []  # most frequent first; the order decides nothing but speed
     popular = {r["item"]: i for i, r in enumerate(reversed(top))}
-    hashed = sets.select("num", "f", "items", F.size("items").alias("n"), F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"))
-    schema = "num bigint, f int, items array<string>, n int, keys array<bigint>, prefix array<bigint>, n_prefix int, m0 bigint, m1 bigint"
+    hashed = sets.select("num", "f", F.size("items").alias("n"), F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"))
+    schema = "num bigint, f int, n int, keys array<bigint>, prefix array<bigint>, n_prefix int, m0 bigint, m1 bigint"
     map_arrow(hashed, _sign(bands, rows, threshold, popular), schema).write.parquet(f"{path}/signed")
     return sets.sparkSession.read.parquet(f"{path}/signed")
 
 
-def _candidates(signed: DataFrame, path: str, crowded: int) -> DataFrame:
+def _candidates(signed: DataFrame, path: str, crowded: int, threshold: float, maps) -> DataFrame:
     """Pairs of numbers (a, b) that may be similar; a pair may come more than once."""
     spark = signed.sparkSession
     keyed = signed.select(F.explode("keys").alias("key"), "num")
@@ -202,7 +229,7 @@ def _candidates(signed: DataFrame, path: str, crowded: int) -> DataFrame:
     if huge:
         rows, waiting = keyed.where(~F.col("key").isin(huge)), keyed.where(F.col("key").isin(huge))
     for depth in (1, 2, 3):
-        met = map_arrow(rows.select("key", "num").repartition("key").sortWithinPartitions("key", "num"), _meet(crowded), "a bigint, b bigint, key bigint")
+        met = map_arrow(rows.select("key", "num").repartition("key").sortWithinPartitions("key"), _meet(crowded, threshold, maps), "a bigint, b bigint, key bigint")
         names.append(f"{path}/met{depth}")
         met.write.parquet(names[-1])
         met = spark.read.schema(met.schema).parquet(names[-1])
@@ -251,15 +278,21 @@ def _classes(
         return sum(F.bit_count(F.col(f"{x}{i}").bitwiseAND(F.bitwise_not(f"{y}{i}"))) for i in (0, 1))
 
     maps = signed.select("num", "f", "n", "m0", "m1")
-    small, found = fits(maps), _candidates(signed, path, crowded)
+    handed = None
+    if fits(maps, MAPPED_SETS, MAPPED_SETS * 96):
+        table = maps.toPandas().sort_values("num")
+        handed = spark.sparkContext.broadcast(_Maps(*(table[c].to_numpy() for c in ("num", "f", "n")), *(table[c].to_numpy().view(np.uint64) for c in ("m0", "m1"))))
+    found = _candidates(signed, path, crowded, threshold, handed)
     for x, renamed in (("a", ("fa", "na", "a0", "a1")), ("b", ("fb", "nb", "b0", "b1"))):
-        side = maps.toDF(x, *renamed)
-        found = found.join(F.broadcast(side) if small else side, x)  # a set has at most crowded partners a key
-    most = F.least(F.col("na") - missing("a", "b"), F.col("nb") - missing("b", "a"))
-    near = most >= F.lit(threshold) * (F.col("na") + F.col("nb") - most) - F.lit(1e-9)
-    candidates = found.where((F.col("fa") == F.col("fb")) & near).select("a", "b").distinct()
-    items = signed.select("num", "items")
-    pairs = candidates.join(items.toDF("a", "ia"), "a").join(items.toDF("b", "ib"), "b")
+        if handed is None:
+            found = found.join(maps.toDF(x, *renamed), x)  # a set has at most crowded partners a key
+    if handed is None:
+        most = F.least(F.col("na") - missing("a", "b"), F.col("nb") - missing("b", "a"))
+        near = most >= F.lit(threshold) * (F.col("na") + F.col("nb") - most) - F.lit(1e-9)
+        found = found.where((F.col("fa") == F.col("fb")) & near)
+    candidates = found.select("a", "b").distinct()
+    items = members.select("num", "f", "items")
+    pairs = candidates.join(items.toDF("a", "fa", "ia"), "a").join(items.toDF("b", "fb", "ib"), "b").where("fa = fb")
     common = F.size(F.array_intersect("ia", "ib"))
     links = pairs.where(common / (F.size("ia") + F.size("ib") - common) >= F.lit(threshold)).select("a", "b")
     held = lookup_join(narrow.select("num", "f", "id"), copies.select("num"), "num", how="left_anti", salts=1)

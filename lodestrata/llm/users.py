@@ -17,7 +17,7 @@ def current_users(user_doc: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     Null and blank ids and null seq do not count; a null array is an empty set.
     """
     src = user_doc.select(
-        F.trim("id").alias("id"), "seq", F.struct(*[id_set(F.col(f"`{c}`")).alias(c) for c in fields]).alias("doc")
+        F.trim("id").alias("id"), "seq", F.struct(*[F.col(f"`{c}`") for c in fields]).alias("doc")
     ).where("length(id) > 0 and seq is not null")
     newest = src.groupBy("id").agg(F.max_by("doc", "seq").alias("doc"))
-    return newest.select("id", *[F.coalesce(f"doc.{c}", F.array().cast("array<string>")).alias(c) for c in fields])
+    return newest.select("id", *[F.coalesce(id_set(F.col(f"doc.`{c}`")), F.array().cast("array<string>")).alias(c) for c in fields])

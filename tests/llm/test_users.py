@@ -89,9 +89,10 @@ def nested(seed, n=150):
 SETS = "id string, x array<string>, y array<string>, items int"
 
 
-@pytest.mark.parametrize("crowded, block, huge", [(2, 3, 1 << 17), (64, 1024, 1 << 17), (2, 1024, 3)])
-def test_similar_pairs_match_brute_force(spark, monkeypatch, crowded, block, huge):
+@pytest.mark.parametrize("crowded, block, huge, mapped", [(2, 3, 1 << 17, 0), (64, 1024, 1 << 17, 10_000), (2, 1024, 3, 10_000)])
+def test_similar_pairs_match_brute_force(spark, monkeypatch, crowded, block, huge, mapped):
     monkeypatch.setattr(setsim, "BLOCK", block)
+    monkeypatch.setattr(setsim, "MAPPED_SETS", mapped)
     monkeypatch.setattr(setsim, "HUGE_ROWS", huge)
     rows = nested(crowded)
     df = spark.createDataFrame([(r["id"], r["x"], r["y"], 0) for r in rows + rows[-3:]], SETS)
