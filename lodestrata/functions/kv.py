@@ -101,6 +101,70 @@ def next_power_of_two(x: Column) -> Column:
     return F.when(x <= 1, F.lit(1)).otherwise(F.pow(F.lit(2.0), F.length(F.bin(x - 1)))).cast("long")
 
 
+def big_endian(x: Column, width: int) -> Column:
+    """The low ``width`` bytes of a number, highest first (4 for u32, 8 for u64); they sort as unsigned numbers do."""
+    return F.unhex(F.substr(F.lpad(F.hex(x.cast("long")), 16, "0"), F.lit(17 - 2 * width), F.lit(2 * width)))
+
+
+def from_big_endian(b: Column) -> Column:
+    """The number of at most eight bytes, highest first; eight bytes with the top bit set are a negative long."""
+    digits = F.lpad(F.hex(b), 16, "0")
+    half = lambda at: F.conv(F.substr(digits, F.lit(at), F.lit(8)), 16, 10).cast("long")
+    return F.shiftleft(half(1), 32).bitwiseOR(half(9))
+
+
+def file_name(id: Column, suffix: str = ".sst") -> Column:
+    """Name of a table's file: its number in five digits at least."""
+    text = id.cast("string")
+    return F.concat(F.when(F.length(text) < 5, F.lpad(text, 5, "0")).otherwise(text), F.lit(suffix))
+
+
+def file_id(name: Column, suffix: str = ".sst") -> Column:
+    """Number of a table's file by its name, folders before it aside; null for other names."""
+    base = F.element_at(F.split(name, "/"), -1)
+    digits = F.substr(base, F.lit(1), F.length(base) - len(suffix))
+    return F.when(base.endswith(suffix) & digits.rlike("^[0-9]+$"), digits.cast("long"))
+
+
+def common_prefix(a: Column, b: Column) -> Column:
+    """How many bytes two binary values share at their beginning."""
+    x, y = F.hex(a), F.hex(b)
+    places = F.sequence(F.lit(1), F.least(F.octet_length(a), F.octet_length(b)))
+    differs = F.filter(places, lambda i: F.substring(x, 2 * i - 1, 2) != F.substring(y, 2 * i - 1, 2))
+    shorter = F.least(F.octet_length(a), F.octet_length(b))
+    return F.when(shorter == 0, 0).when(F.size(differs) > 0, differs[0] - 1).otherwise(shorter)
+
+
+def uvarint(x: Column) -> Column:
+    """A number as unsigned varint: seven bits a byte, lowest first, the high bit where more follow."""
+    n = uvarint_size(x).cast("int")
+    each = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.hex(
+        F.call_function("shiftrightunsigned", x.cast("long"), i * 7).bitwiseAND(F.lit(127)) + F.when(i < n - 1, 128).otherwise(0)), 2, "0"))
+    return F.unhex(F.array_join(each, ""))
+
+
+def from_uvarint(b: Column) -> Column:
+    """The number of an unsigned varint; null if it ends too early or goes beyond 63 bits."""
+    digits = F.hex(b)
+    byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, 2), 16, 10).cast("long")
+    bytes_ = F.transform(F.sequence(F.lit(0), F.octet_length(b) - 1), byte)
+    more = F.size(F.filter(bytes_, lambda x, i: (x >= 128) & (i < F.octet_length(b) - 1)))
+    whole = (F.octet_length(b) > 0) & (F.octet_length(b) <= 9) & (more == F.octet_length(b) - 1) & (F.element_at(bytes_, -1) < 128)
+    total = F.aggregate(F.transform(bytes_, lambda x, i: F.call_function("shiftleft", x.bitwiseAND(F.lit(127)), i * 7)), F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    return F.when(whole, total)
+
+
+def random_entries(spark: SparkSession, n: int, value_bytes: int = 16, seed: int = 0):
+    """``n`` change-log entries with distinct random keys and values of 0 to ``value_bytes`` bytes; the same for one seed."""
+    word = lambda *salt: F.hex(F.xxhash64(F.lit(seed), *[F.lit(s) for s in salt], "id"))
+    text = F.concat(*[word("value", i) for i in range(-(-value_bytes // 8))]) if value_bytes else F.lit("")
+    size = F.pmod(F.xxhash64(F.lit(seed), F.lit("size"), "id"), F.lit(value_bytes + 1)).cast("int")
+    return spark.range(n).select(
+        F.unhex(F.concat(word("key"), F.lpad(F.hex("id"), 16, "0"))).alias("key"), (F.col("id") + 1).alias("seq"), F.lit(False).alias("is_delete"),
+        F.unhex(F.substr(text, F.lit(1), 2 * size)).alias("value"), F.lit(0).cast("long").alias("expires_at"), F.lit(0).cast("byte").alias("meta"),
+    )
+
+
 def _crc_table() -> np.ndarray:
     table = np.arange(256, dtype=np.uint32)
     for _ in range(8):

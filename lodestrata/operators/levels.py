@@ -6,6 +6,9 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from lodestrata.model import Options
 
 
@@ -88,6 +91,25 @@ def overlapping(runs: Sequence[Run], lo: bytes, hi: bytes) -> list[Run]:
     return [r for r in runs if r.lo <= hi and lo <= r.hi]
 
 
+def overlapping_pairs(runs: DataFrame) -> DataFrame:
+    """(a, b), a < b: ids of runs (id, lo, hi) whose closed key ranges meet.
+
+    Two ranges meet exactly if one begins inside the other.  Keys are cut into
+    bins of about equal numbers of beginnings; a run is in each bin it crosses,
+    so a run meets those that begin in its bins only, and no two runs are compared twice.
+    """
+    # every run begins somewhere, so a share of the beginnings by their hash cuts them evenly; 512 bounds at most or so
+    every = max(1, runs.count() // 256)
+    cuts = sorted(r[0] for r in runs.where(F.pmod(F.xxhash64("lo"), F.lit(every)) == 0).select("lo").distinct().collect()) if every > 1 else []
+    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast(f"array<{runs.schema['lo'].dataType.simpleString()}>")
+    bin_of = lambda c: F.size(F.filter(bounds, lambda x: x <= F.col(c)))
+    x = runs.select(F.col("id").alias("x"), F.col("lo").alias("x_lo"), F.col("hi").alias("x_hi"), F.explode(F.sequence(bin_of("lo"), bin_of("hi"))).alias("bin"))
+    y = runs.select(F.col("id").alias("y"), F.col("lo").alias("y_lo"), bin_of("lo").alias("bin"))
+    met = x.join(y, "bin").where((F.col("x") != F.col("y")) & (F.col("x_lo") <= F.col("y_lo")) & (F.col("y_lo") <= F.col("x_hi")))
+    met = met.where((F.col("x_lo") < F.col("y_lo")) | (F.col("x") < F.col("y")))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def pick_l0(l0: Sequence[Run], base: Sequence[Run], busy: Sequence[tuple[bytes, bytes]] = ()) -> tuple[list[Run], list[Run]]:
     """(top, bottom): the longest oldest-first chain of overlapping L0 runs, and the base runs it meets; none where another job is."""
     top: list[Run] = []

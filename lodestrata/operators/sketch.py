@@ -8,10 +8,12 @@ from collections.abc import Hashable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import ship
+from lodestrata.session import map_arrow, ship
 
 
 def bloom_bits_per_key(n: int, fpp: float) -> int:
@@ -25,54 +27,77 @@ def bloom_hashes(bits_per_key: int) -> int:
 
 
 class Bloom:
-    """A Bloom filter over 64-bit hashes, probed by double hashing."""
+    """A Bloom filter over 64-bit hashes, probed by double hashing; one bit a place."""
 
-    def __init__(self, hashes: np.ndarray, bits_per_key: int):
+    def __init__(self, n_keys: int, bits_per_key: int):
         self.k = bloom_hashes(bits_per_key)
-        self.n_bits = max(64, len(hashes) * max(bits_per_key, 0))
-        self.bits = np.zeros(self.n_bits, bool)
-        for at in self._places(hashes):
-            self.bits[at] = True
+        self.n_bits = max(64, n_keys * max(bits_per_key, 0))
+        self.words = np.zeros(-(-self.n_bits // 64), np.uint64)
 
-    def _places(self, hashes: np.ndarray) -> Iterator[np.ndarray]:
+    def _places(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         h = hashes.astype(np.uint64)
         step = (h >> np.uint64(33)) | np.uint64(1)
         with np.errstate(over="ignore"):
             for _ in range(self.k):
-                yield (h % np.uint64(self.n_bits)).astype(np.int64)
+                at = h % np.uint64(self.n_bits)
+                yield (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
                 h = h + step
 
+    def add(self, hashes: np.ndarray) -> Bloom:
+        for word, bit in self._places(hashes):
+            np.bitwise_or.at(self.words, word, bit)
+        return self
+
     def may_contain(self, hashes: np.ndarray) -> np.ndarray:
         found = np.ones(len(hashes), bool)
-        for at in self._places(hashes):
-            found &= self.bits[at]
+        for word, bit in self._places(hashes):
+            found &= self.words[word] & bit != 0
         return found
 
 
+#: Members of one part of a distributed Bloom filter (about 1.2 MB at one percent).
+BLOOM_PART = 1 << 20
+
+
+def _probe_parts(keys_in_part: int, bits: int):
+    """Rows (part, probe, h, key) sorted by part, members before probes: a filter per part, and what it says of each probe."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, known = None, None
+        for batch in batches:
+            parts, probe, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for p in np.unique(parts).tolist():
+                if p != part:
+                    part, known = p, Bloom(keys_in_part, bits)
+                mine = parts == p
+                known.add(h[mine & ~probe].view(np.uint64))
+                asked = np.flatnonzero(mine & probe)
+                if len(asked):
+                    yield pa.RecordBatch.from_arrays([batch.column(3).take(pa.array(asked)), pa.array(known.may_contain(h[asked].view(np.uint64)))], names=["key", "maybe"])
+
+    return run
+
+
 def bloom_probe(members: DataFrame, probes: DataFrame, key: str, fpp: float = 0.01) -> DataFrame:
     """(key, maybe) of each row of ``probes``: a distributed Bloom filter of ``members``.
 
-    Both sides are co-partitioned by key hash, each part builds and probes its own filter.
+    Both sides are split by key hash into parts of about BLOOM_PART members,
+    each with its own filter; null keys are left out.
     """
-    ship(members.sparkSession)
-    bits = bloom_bits_per_key(1000, fpp)
-    h = F.xxhash64(F.col(key))
-    m = members.where(F.col(key).isNotNull()).select(h.alias("h")).distinct().groupBy(F.pmod("h", F.lit(64)).alias("part"))
-    p = probes.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), h.alias("h")).groupBy(F.pmod("h", F.lit(64)).alias("part"))
+    h = F.xxhash64(F.lit(7919), F.col(key))  # not the hash rows are shuffled by
+    m = members.where(F.col(key).isNotNull()).select(h.alias("h"), F.col(key).alias("key")).distinct()
+    n = max(1, m.count())
+    parts = -(-n // BLOOM_PART)
+    part = F.pmod("h", F.lit(parts)).cast("int").alias("part")
+    p = probes.where(F.col(key).isNotNull()).select(h.alias("h"), F.col(key).alias("key"))
+    both = m.select(part, F.lit(False).alias("probe"), "h", F.lit(None).cast(p.schema["key"].dataType).alias("key")).unionByName(p.select(part, F.lit(True).alias("probe"), "h", "key"))
     kind = probes.schema[key].dataType.simpleString()
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        # the low bits chose the part; the filter uses a mix of all bits
-        mix = lambda x: x["h"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        with np.errstate(over="ignore"):
-            maybe = Bloom(mix(a), bits).may_contain(mix(b)) if len(a) else np.zeros(len(b), bool)
-        return pd.DataFrame({"key": b["key"], "maybe": maybe})
-
-    return m.cogroup(p).applyInPandas(run, f"key {kind}, maybe boolean")
+    ranged = both.repartition("part").sortWithinPartitions("part", "probe")
+    return map_arrow(ranged, _probe_parts(-(-n // parts), bloom_bits_per_key(n, fpp)), f"key {kind}, maybe boolean")
 
 
 class CountMin:
-    """Count-min sketch of four rows of four-bit counters, saturating at 15."""
+    """Count-min sketch of four rows of four-bit counters, saturating at 15 (one machine; ``count_min`` is the distributed one)."""
 
     def __init__(self, counters: int, seed: int = 1):
         self.width = 1 << max(0, math.ceil(math.log2(max(1, counters))))
@@ -95,6 +120,32 @@ class CountMin:
         self.rows[:] = 0
 
 
+def _lanes(keys: list[str], width: int) -> Column:
+    """The places of a key in the sketch: one in each of four rows."""
+    return F.array(*[F.struct(F.lit(i).alias("lane"), F.pmod(F.xxhash64(F.lit(i), *keys), F.lit(width)).alias("at")) for i in range(4)])
+
+
+def count_min(df: DataFrame, keys: list[str], width: int, most: int = 15) -> DataFrame:
+    """(lane, at, n): a count-min sketch of four rows of ``width`` saturating counters.
+
+    Counters are summed per task before the shuffle and over all tasks after
+    it, so the sketch of any number of rows has 4 x ``width`` entries at most.
+    """
+    return df.select(F.explode(_lanes(keys, width)).alias("p")).groupBy("p.lane", "p.at").agg(F.least(F.count(F.lit(1)), F.lit(most)).cast("long").alias("n"))
+
+
+def halved(sketch: DataFrame) -> DataFrame:
+    """The sketch with all counters halved (aging)."""
+    return sketch.withColumn("n", F.shiftright("n", 1))
+
+
+def estimates(sketch: DataFrame, df: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(keys, estimate) of each distinct key of ``df``: the least of its four counters, never less than its own count."""
+    asked = df.select(*keys).distinct().select(*keys, F.explode(_lanes(keys, width)).alias("p")).select(*keys, "p.lane", "p.at")
+    found = asked.join(sketch, ["lane", "at"], "left").groupBy(*keys)
+    return found.agg(F.min(F.coalesce("n", F.lit(0))).alias("estimate"))
+
+
 def saturated_counts(df: DataFrame, keys: list[str], halvings: int = 0, most: int = 15) -> DataFrame:
     """Exact counterpart of the sketch: occurrences per key, saturating, halved ``halvings`` times."""
     n = F.least(F.count(F.lit(1)), F.lit(most)).cast("long")
@@ -156,6 +207,48 @@ class SegmentedLRU:
         return True
 
 
+class TinyLFU:
+    """A small window in front of a segmented cache; a count-min sketch decides who stays.
+
+    What falls out of the window enters the main cache only if the sketch has
+    seen it more often than the key it would replace.  After ``10 * capacity``
+    accesses all counters are halved.
+    """
+
+    def __init__(self, capacity: int, window_share: float = 0.01):
+        window = max(1, int(capacity * window_share))
+        main = max(2, capacity - window)
+        self.window, self.main = WindowLRU(window), SegmentedLRU(main - main * 4 // 5, main * 4 // 5)
+        self.sketch, self.left, self.every = CountMin(capacity * 4), 10 * capacity, 10 * capacity
+
+    @staticmethod
+    def _hash(key: Hashable) -> int:
+        return xxhash.xxh3_64_intdigest(repr(key)) >> 2
+
+    def get(self, key: Hashable) -> bool:
+        self.left -= 1
+        if not self.left:
+            self.sketch.reset()
+            self.left = self.every
+        self.sketch.increment(self._hash(key))
+        return self.window.get(key) or self.main.get(key)
+
+    def add(self, key: Hashable, value=None):
+        """Insert a key; returns what left the cache."""
+        out = self.window.add(key, value)
+        if out is None:
+            return None
+        victim = self.main.victim()
+        if victim is not None and self.sketch.estimate(self._hash(out[0])) <= self.sketch.estimate(self._hash(victim)):
+            return out
+        return self.main.add(*out)
+
+
+POLICIES = {
+    "lru": WindowLRU, "slru": lambda c: SegmentedLRU(c // 2, c - c // 2), "tinylfu": TinyLFU,
+}
+
+
 def _simulate(keys: Iterable, policy) -> list[bool]:
     hits = []
     for key in keys:
@@ -169,12 +262,14 @@ def _simulate(keys: Iterable, policy) -> list[bool]:
 def cache_trace(df: DataFrame, shard: str, order: str, key: str, policy: str, capacity: int) -> DataFrame:
     """(shard, accesses, hits) of a cache per ``shard`` that sees its accesses by ``order``.
 
-    A cache is a sequential machine, so a shard is one group: shards are what is parallel.
+    ``policy``: one of POLICIES.  A cache is a sequential machine, so a shard is
+    one group: shards are what is parallel.  Shard by a hash of the key, so that
+    a shard sees every access of its keys.
     """
     kind = df.schema[shard].dataType.simpleString()
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        cache = WindowLRU(capacity) if policy == "lru" else SegmentedLRU(capacity // 2, capacity - capacity // 2)
+        cache = POLICIES[policy](capacity)
         hits = _simulate(pdf.sort_values("o", kind="stable")["k"], cache)
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "accesses": [len(hits)], "hits": [sum(hits)]})
 

@@ -62,11 +62,18 @@ def test_ordered(spark):
     ks = sorted({rnd.randrange(1000) for _ in range(120)})
     keys = spark.createDataFrame([(k,) for k in ks], "key int").repartition(4)
     assert {(r["key"], r["ordinal"]) for r in ordered.with_ordinal(keys, ["key"]).collect()} == {(k, i + 1) for i, k in enumerate(ks)}
-    probes = spark.createDataFrame([(p,) for p in range(0, 1000, 13)], "probe int")
-    floor = {r["probe"]: r["found"] for r in ordered.floor_keys(keys, probes).collect()}
-    assert floor == {p: max((k for k in ks if k <= p), default=None) for p in range(0, 1000, 13)}
-    before = {r["key"]: r["previous"] for r in ordered.neighbours(keys).collect()}
-    assert before == dict(zip(ks, [None, *ks[:-1]], strict=True))
+    probes = spark.createDataFrame([(p,) for p in [*range(0, 1000, 13), *ks[::9], None]], "probe int").repartition(3)
+    tests = {
+        "floor": lambda p: max((k for k in ks if k <= p), default=None), "lower": lambda p: max((k for k in ks if k < p), default=None),
+        "ceiling": lambda p: min((k for k in ks if k >= p), default=None), "higher": lambda p: min((k for k in ks if k > p), default=None),
+    }
+    for how, want in tests.items():
+        got = ordered.seek(keys.union(keys.limit(3)), probes, how).collect()
+        assert len(got) == probes.count()
+        assert all(r["found"] == (None if r["probe"] is None else want(r["probe"])) for r in got), how
+    assert all(r["found"] is None for r in ordered.seek(keys.limit(0), probes, "floor").collect())
+    near = {r["key"]: (r["previous"], r["next"]) for r in ordered.neighbours(keys).collect()}
+    assert near == dict(zip(ks, zip([None, *ks[:-1]], [*ks[1:], None]), strict=True))
 
 
 def test_group_ordinal(spark):
@@ -193,14 +200,15 @@ def test_sketches_and_caches():
 def test_queries_agree_with_sql(spark, sf):
     from compare import compare, connect
 
-    from lodestrata.plans import kv_queries as q
+    from lodestrata.plans import core_problems, kv_queries, store_queries
 
     con = connect(sf)
-    for name, f in q.QUERIES.items():
-        if name in q.SQL:
-            assert compare(spark, con, name, f, q.SQL[name], sf) == "", name
-        else:
-            assert f(spark, sf).count() > 0, name
+    for q in (kv_queries, store_queries, core_problems):
+        for name, f in q.QUERIES.items():
+            if name in q.SQL:
+                assert compare(spark, con, name, f, q.SQL[name], sf) == "", name
+            else:
+                assert f(spark, sf).count() > 0, name
 
 
 def test_entry(spark, sf):
