@@ -13,6 +13,8 @@ template hash, and the slots decide:
 
 For ``leaks`` the template is a function of the words alone, so a passage that
 stands in a document word by word always shares its templates; none is missed.
+Windows meet by template and slots together, so a template that very many
+windows share (a table of numbers) brings no pairs of different passages.
 ``reparameterised`` reads each text in three ways (see ``READINGS``), as the
 other values need not occur in any item, nor have as many words.  The items
 are the stated query set: their windows are matched in blocks of at most
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestrata.llm.pieces import WHITE, expanded, slices
+from lodestrata.operators.skew import fits, split_join
 from lodestrata.session import cut, map_arrow
 
 #: Windows of items whose hashes are broadcast at a time (8 MB of template hashes).
@@ -119,18 +122,20 @@ def _rolled(codes: np.ndarray, window: int) -> np.ndarray:
 
 
 def _windows(texts: list[str | None], window: int, names: frozenset):
-    """(distinct words, code of each word, owner of each window, its start, template hash)."""
+    """(distinct words, code of each word, owner of each window, its start, template hash, hash of each distinct word)."""
     per_text, code, distinct = expanded(texts, _CHUNK, words_of)
     distinct = distinct.to_pylist()
     owner = np.repeat(np.arange(len(texts)), per_text)
     n = len(code) - window + 1
     if n <= 0:
         empty = np.empty(0, np.int64)
-        return distinct, code, empty, empty, np.empty(0, np.uint64)
+        return distinct, code, empty, empty, np.empty(0, np.uint64), np.empty(0, np.uint64)
     slots = [slot_of(w, names) for w in distinct]
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(s or "w" + w) for s, w in zip(slots, distinct, strict=True)), np.uint64, len(distinct))
+    own = np.fromiter((xxhash.xxh3_64_intdigest("w" + w) for w in distinct), np.uint64, len(distinct))
+    placeholder = {s: xxhash.xxh3_64_intdigest(s) for s in set(slots) if s}
+    hashes = np.array([placeholder[s] if s else h for s, h in zip(slots, own.tolist(), strict=True)], np.uint64)
     inside = np.flatnonzero(owner[:n] == owner[window - 1:])
-    return distinct, code, owner[inside], inside, _rolled(hashes[code], window)[inside]
+    return distinct, code, owner[inside], inside, _rolled(hashes[code], window)[inside], own
 
 
 def _number(text: str) -> str:
@@ -193,7 +198,7 @@ def _look(window: int, names_bc, wanted_bc):
     """Windows of texts as ``_scan`` has them, of each reading, that hold an ordinary word and a slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (names, ordinary), wanted = names_bc.value, wanted_bc.value if wanted_bc is not None else None
+        (names, ordinary), wanted = names_bc.value, wanted_bc.value[0] if wanted_bc is not None else None
         if wanted is not None:
             sieve = np.zeros(1 << 22, bool)
             sieve[wanted >> _U(42)] = True
@@ -211,40 +216,54 @@ def _look(window: int, names_bc, wanted_bc):
                         yield pa.RecordBatch.from_arrays(
                             [
                                 batch.column(0).slice(a, b - a).take(pa.array(owner[keep])),
-                                pa.array(hashes[keep].view(np.int64)),
+                                pa.array(hashes[keep].view(np.int64)), pa.array(np.zeros(len(keep), np.int64)),
                                 pa.array([tokens(s) for s in start[keep].tolist()], pa.list_(pa.string())),
                             ],
-                            names=["id", "template", "words"],
+                            names=["id", "template", "filled", "words"],
                         )
 
     return run
 
 
 def _scan(window: int, names_bc, wanted_bc):
-    """Windows of texts; with ``wanted_bc`` only those whose template hash is in it."""
+    """Windows of texts with their template and the hash of what stands in its slots and between; with ``wanted_bc`` only those in it."""
+
+    def values(own: np.ndarray, code: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Hash of all words of the windows at ``start``."""
+        total = np.zeros(len(start), np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(window):
+                total = (total ^ own[code[start + j]]) * _U(0xBF58476D1CE4E5B9)
+                total ^= total >> _U(31)
+        return total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (names, _), wanted = names_bc.value, wanted_bc.value if wanted_bc is not None else None
         if wanted is not None:
+            templates, slots = wanted
             sieve = np.zeros(1 << 22, bool)  # first look: 22 bits of the hash
-            sieve[wanted >> _U(42)] = True
+            sieve[templates >> _U(42)] = True
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
-                words, code, owner, start, hashes = _windows(texts[a:b], window, names)
+                words, code, owner, start, hashes, own = _windows(texts[a:b], window, names)
                 keep = np.arange(len(hashes))
                 if wanted is not None:
                     keep = keep[sieve[hashes[keep] >> _U(42)]]
-                    at = np.minimum(np.searchsorted(wanted, hashes[keep]), len(wanted) - 1)
-                    keep = keep[wanted[at] == hashes[keep]]
+                    at = np.minimum(np.searchsorted(templates, hashes[keep]), len(templates) - 1)
+                    keep = keep[templates[at] == hashes[keep]]
+                filled = values(own, code, start[keep])
+                if wanted is not None:
+                    at = np.minimum(np.searchsorted(slots, filled), len(slots) - 1)
+                    right = slots[at] == filled
+                    keep, filled = keep[right], filled[right]
                 if len(keep):
                     yield pa.RecordBatch.from_arrays(
                         [
-                            batch.column(0).slice(a, b - a).take(pa.array(owner[keep])),
-                            pa.array(hashes[keep].view(np.int64)),
+                            batch.column(0).slice(a, b - a).take(pa.array(owner[keep])), pa.array(hashes[keep].view(np.int64)), pa.array(filled.view(np.int64)),
                             pa.array([[words[c] for c in code[s:s + window].tolist()] for s in start[keep].tolist()], pa.list_(pa.string())),
                         ],
-                        names=["id", "template", "words"],
+                        names=["id", "template", "filled", "words"],
                     )
 
     return run
@@ -260,29 +279,36 @@ def _names(items: DataFrame, text: str) -> tuple[frozenset, frozenset]:
 
 
 def _matches(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: str, window: int, scan=_scan) -> DataFrame:
-    """(doc, item, dw, iw): windows of documents and items of equal template."""
+    """(doc, item, dw, iw): windows of documents and items of equal template, for ``leaks`` of equal slots too.
+
+    A template may be that of very many windows (a table of numbers is one
+    template all through): where its windows cannot be broadcast, crowded templates are joined in blocks.
+    """
     spark = docs.sparkSession
     sc = spark.sparkContext
     doc_type, item_type = docs.schema[doc].dataType.simpleString(), items.schema[item].dataType.simpleString()
     names = sc.broadcast(_names(items, text))
-    shape = "template bigint, words array<string>"
+    shape = "template bigint, filled bigint, words array<string>"
     of_items = items.where(F.col(f"`{item}`").isNotNull()).select(F.col(f"`{item}`").alias("id"), F.col(f"`{text}`").alias("text"))
     queries = cut(map_arrow(of_items, scan(window, names, None), f"id {item_type}, {shape}").distinct())
     blocks = max(1, -(-queries.count() // BLOCK_WINDOWS))
     src = docs.where(F.col(f"`{doc}`").isNotNull()).select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    key = F.struct("template", "filled").alias("key")
     found = None
     for block in range(blocks):
         mine = queries.where(F.pmod("template", F.lit(blocks)) == block)
-        hashes = np.unique(np.array([r[0] for r in mine.select("template").distinct().collect()], np.int64).view(np.uint64))
-        if not len(hashes):
+        rows = mine.select("template", "filled").distinct().toPandas()
+        if not len(rows):
             continue
+        hashes = tuple(np.unique(rows[c].to_numpy().view(np.uint64)) for c in ("template", "filled"))
         hits = map_arrow(src, scan(window, names, sc.broadcast(hashes)), f"id {doc_type}, {shape}")
-        hits = hits.select(F.col("id").alias("doc"), "template", F.col("words").alias("dw"))
-        part = hits.join(mine.select(F.col("id").alias("item"), "template", F.col("words").alias("iw")), "template")
+        hits = hits.select(key, F.col("id").alias("doc"), F.col("words").alias("dw"))
+        sides = mine.select(key, F.col("id").alias("item"), F.col("words").alias("iw"))
+        part = hits.join(F.broadcast(sides), "key") if fits(sides) else split_join(cut(hits.distinct()), sides, "key")
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = spark.createDataFrame([], f"template bigint, doc {doc_type}, dw array<string>, item {item_type}, iw array<string>")
-    return found.drop("template")
+        found = spark.createDataFrame([], f"key int, doc {doc_type}, dw array<string>, item {item_type}, iw array<string>")
+    return found.drop("key")
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: str, window: int = 12) -> DataFrame:

@@ -103,3 +103,59 @@ def test_tagged_words_are_the_words():
     for t in ("Anna's 1,204.5 km: \"Über\" 3½ x", "İstanbul o​ne ǅ 16.9% (The) a_b", "ﬁsh; Jean-Luc…"):
         tokens = [w for chunk in leak._LINED.findall(t) for w in leak.tagged(chunk)]
         assert [w[4:] for w in tokens] == leak.words_of(t) and all(len(w) > 4 for w in tokens)
+
+
+def test_tables_of_numbers_share_a_template(spark, monkeypatch):
+    """Every window of a table of numbers has one template; only equal numbers are a leak, and crowded templates are joined in blocks."""
+    from lodestrata.operators import skew
+
+    rnd = random.Random(8)
+    numbers = lambda n: " ".join(str(rnd.randrange(1000)) for _ in range(n))
+    items = [(i, numbers(60), "b") for i in range(6)]
+    docs = [(d, numbers(150) + (" " + items[d % 6][1][:80] if d % 3 == 0 else ""), "") for d in range(40)]
+    d, i = spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM)
+    for blocks in (False, True):
+        if blocks:
+            monkeypatch.setattr(leak, "fits", lambda df: False)
+            monkeypatch.setattr(skew, "PART_ROWS", 3)
+        got = leak.leaks(d, i, doc="doc_id", item="item_id", text="text").collect()
+        assert {tuple(r) for r in got} == found(docs, items) and 0 < len(got) < 40
+    q = "{} of the {} have {}"  # few words between the values
+    tables = [(i, " ".join(q.format(*(rnd.randrange(1000) for _ in range(3))) for _ in range(9)), "b") for i in range(4)]
+    pages = [(d, " ".join(q.format(*(rnd.randrange(1000) for _ in range(3))) for _ in range(12)), "") for d in range(10)]
+    once = {}
+    for blocks in (True, False):
+        monkeypatch.setattr(leak, "fits", lambda df, small=not blocks: small)
+        rows = leak.reparameterised(spark.createDataFrame(pages, DOC), spark.createDataFrame(tables, ITEM), doc="doc_id", item="item_id", text="text").collect()
+        once[blocks] = sorted(tuple(r) for r in rows)
+    assert once[True] == once[False] and len({r[:2] for r in once[True]}) == 40
+
+
+def consistent(dw, iw):
+    pairs = set(zip(dw, iw))
+    return dw != iw and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_reparameterised_matches_brute_force(spark):
+    """Texts whose only slots are numbers and units: the readings are one, and windows can be compared word by word."""
+    rnd = random.Random(12)
+    plain = "the river carries more boats than old bridges and every winter farmers store grain near mills".split()
+    make = lambda: [rnd.choice([str(rnd.randrange(6)), rnd.choice(["km", "kg"]), *rnd.sample(plain, 4)]) for _ in range(30)]
+    items = [(i, " ".join(make()), "b") for i in range(12)]
+    docs = []
+    for d in range(40):
+        w = items[d % 12][1].split()
+        other = {str(n): str(rnd.randrange(6)) for n in range(6)} | {"km": rnd.choice(["km", "kg"]), "kg": rnd.choice(["km", "kg"])}
+        docs.append((d, " ".join([*make()[:9], *(other.get(x, x) for x in w[4:24]), *make()[:5]]), ""))
+    got = leak.reparameterised(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM), doc="doc_id", item="item_id", text="text").collect()
+    slot = lambda w: leak.slot_of(w, frozenset())
+    want = set()
+    for d, dt, _ in docs:
+        for i, it, _ in items:
+            a, b = dt.split(), it.split()
+            for x in range(len(a) - 11):
+                for y in range(len(b) - 11):
+                    v, w = a[x:x + 12], b[y:y + 12]
+                    if [slot(p) or p for p in v] == [slot(p) or p for p in w] and consistent(v, w) and not all(slot(p) for p in v):
+                        want.add((d, i))
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) > 5
