@@ -45,27 +45,31 @@ def _reduce(table: pa.Table, k: int) -> pa.Table:
     rank[len(words)] = len(words)
     seq = table["seq"].combine_chunks().to_numpy(zero_copy_only=False)
     counts = np.bincount(kc, weights=table["n"].to_numpy(), minlength=n_keys).astype(np.int64)
-    # smallest seq of each (key, item)
-    pair = kc * (len(words) + 1) + ic
-    by = np.lexsort((seq, pair))
-    first = by[np.r_[True, pair[by][1:] != pair[by][:-1]]]
-    # place of each pair in its key
-    first = first[np.lexsort((rank[ic[first]], seq[first], kc[first]))]
-    per_key = np.bincount(kc[first], minlength=n_keys)
-    start = np.cumsum(per_key) - per_key
-    place = np.arange(len(first)) - start[kc[first]]
-    keep = first[place < k]
-    place = place[place < k]
-    # dense blocks [n_keys, k]: scatter, then read out in key order
-    block = np.full((n_keys, k), -1, np.int64)
-    block[kc[keep], place] = keep
-    rows = block.ravel()
+    # dense blocks [n_keys, k], filled place by place: two scatter-minima find each key's smallest seq and, at that, its smallest item
+    none = len(words) + 1
+    seqs, items = np.zeros((n_keys, k), np.int64), np.full((n_keys, k), none, np.int64)
+    left, order = np.arange(len(kc)), rank[ic]
+    for place in range(k):
+        low = np.full(n_keys, np.iinfo(np.int64).max)
+        np.minimum.at(low, kc[left], seq[left])
+        lowest = left[seq[left] == low[kc[left]]]
+        best = np.full(n_keys, none, np.int64)
+        np.minimum.at(best, kc[lowest], order[lowest])
+        seqs[:, place], items[:, place] = low, best
+        left = left[order[left] != best[kc[left]]]  # an item counts once
+        if not len(left):
+            break
+    filled = np.flatnonzero(items.ravel() < none)
     n = np.zeros((n_keys, k), np.int64)
     n[:, 0] = counts
-    n = n.ravel()[rows >= 0]
-    rows = rows[rows >= 0]
-    out = table.select(["key", "item", "seq"]).take(pa.array(rows))
-    return out.append_column("n", pa.array(n)).cast(ROWS)
+    word_of = np.empty(len(words) + 1, np.int64)
+    word_of[rank] = np.arange(len(words) + 1)
+    word = word_of[items.ravel()[filled]]
+    out = pa.table({
+        "key": key.dictionary.take(pa.array(filled // k)), "item": words.take(pa.array(word, mask=word == len(words))),
+        "seq": pa.array(seqs.ravel()[filled]), "n": pa.array(n.ravel()[filled]),
+    })
+    return out.cast(ROWS)
 
 
 def _table(batches: list[pa.RecordBatch]) -> pa.Table:

@@ -156,7 +156,7 @@ def apply_changes(
     columns: Sequence[str],
     spellings: Mapping[str, Sequence[str]],
     base: DataFrame | None = None,
-    chunk_span: int = 4096,
+    chunk_span: int = 512,
     fan_in: int = 64,
     levels: int = 1,
 ) -> DataFrame:

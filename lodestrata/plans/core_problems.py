@@ -17,6 +17,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return live_tables(table(spark, folder, "manifest_modify"))
 
 
+def p1_incremental(spark: SparkSession, folder: str) -> DataFrame:
+    """The same state in two steps: the earlier half of the versions makes a base, the later half is applied to it as patches."""
+    changes = table(spark, folder, "manifest_modify")
+    half = F.lit((changes.agg(F.max("version")).first()[0] or 0) // 2)
+    base = cut(live_tables(changes.where(F.col("version") <= half)))
+    return live_tables(changes.where(F.col("version") > half), base=base)
+
+
 def _merged(spark: SparkSession, folder: str) -> DataFrame:
     live = cut(p1_found(spark, folder).withColumnRenamed("id", "table_id"))
     return consolidate(table(spark, folder, "sst_record"), live)
@@ -59,10 +67,11 @@ _LIVE = """
         and upper(trim(op)) in ('CREATE', '0', 'DELETE', '1'))
     where rn = 1 and made"""
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_files": p3_files, "p6_found": p6_found, "p6_counts": p6_counts}
+QUERIES = {"p1_found": p1_found, "p1_incremental": p1_incremental, "p3_found": p3_found, "p3_files": p3_files, "p6_found": p6_found, "p6_counts": p6_counts}
 
 SQL = {
     "p1_found": _LIVE,
+    "p1_incremental": _LIVE,
     "p3_found": f"""
         with live as ({_LIVE})
         select distinct l.level, r.table_id, r.rec_no
