@@ -14,7 +14,7 @@
 from __future__ import annotations
 
 import base64
-import os
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.lexicon import Lexicon, build
 from lodestrata.llm.pieces import WHITE, expanded, gather, slices
-from lodestrata.session import map_arrow, scratch, write_bytes
+from lodestrata.session import map_arrow, shared_dir, write_bytes
 
 #: Splits text before the merges; the published pattern of the vocabulary (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -39,6 +39,7 @@ _WORDS = regex.compile(PATTERN).findall
 
 _MERGERS: dict[str, object] = {}
 _LEXICONS: dict[str, Lexicon] = {}
+_ADDED: set[tuple[str, str]] = set()
 
 
 def _merger(path: str):
@@ -112,11 +113,13 @@ def encode(
     merge = _merger(vocabulary)
     words = [r[0].encode() for r in frequent_words(docs, text, lexicon_words).select("word").collect()]
     built = build(words, [merge(w) for w in words])
-    folder = scratch(spark, "lexicon")
-    path = f"{folder}/{os.path.basename(folder)}.bin"  # executors know the file by its last name
-    write_bytes(spark, path, built)
-    spark.sparkContext.addFile(path)
+    name = f"lexicon-{hashlib.sha256(built).hexdigest()[:32]}.bin"  # executors know the file by it; one corpus, one file
+    if (spark.sparkContext.applicationId, name) not in _ADDED:
+        path = f"{shared_dir(spark)}/{name}"  # stays as long as executors may come
+        write_bytes(spark, path, built)
+        spark.sparkContext.addFile(path)
+        _ADDED.add((spark.sparkContext.applicationId, name))
     out_type = docs.schema[id].dataType.simpleString()
     src = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    out = map_arrow(src, _encoder(vocabulary, os.path.basename(path)), f"id {out_type}, ids array<int>")
+    out = map_arrow(src, _encoder(vocabulary, name), f"id {out_type}, ids array<int>")
     return out.withColumnRenamed("id", id)

@@ -2,8 +2,8 @@
 
 1. Equal sets are one class; only distinct sets are numbered, signed and compared.
 2. Each set gets ``bands`` keys of ``rows`` minwise hashes.  At similarity s
-   two sets share no key with probability (1 - s**rows)**bands; with 16 bands of
-   2 that is 2e-5 at the threshold 0.7 and falls steeply above it.
+   two sets share no key with probability (1 - s**rows)**bands; with 14 bands of
+   2 that is 8e-5 at the threshold 0.7 and falls steeply above it.
 3. Only (key, number) is shuffled.  Keys held by one set end there; the sets of
    any other key are candidates.
 4. A key shared by more than ``crowded`` sets (they hold the same few popular
@@ -151,9 +151,8 @@ class _Maps:
     low: np.ndarray
     high: np.ndarray
 
-    def near(self, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
-        """Whether sets may be similar: ids missing in the other, as the maps show, bound what they share."""
-        i, j = np.searchsorted(self.num, a), np.searchsorted(self.num, b)
+    def near(self, i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether sets (by their place here) may be similar: ids missing in the other, as the maps show, bound what they share."""
         missing = lambda x, y: sum(np.bitwise_count(m[x] & ~m[y]).astype(np.int32) for m in (self.low, self.high))
         most = np.minimum(self.n[i] - missing(i, j), self.n[j] - missing(j, i))
         return (self.f[i] == self.f[j]) & (most >= threshold * (self.n[i] + self.n[j] - most) - 1e-9)
@@ -190,18 +189,19 @@ def _meet(crowded: int, threshold: float, maps):
         rows = np.flatnonzero(np.repeat(many, size))
         if len(rows):
             yield out(num[rows], None, key[rows])
+        # the sets' places among the maps are looked up once, not for each pair
+        place = np.searchsorted(maps.value.num, num) if maps is not None else None
         for s in np.unique(size[~many & (size > 1)]).tolist():
             at = start[~many & (size == s)]
             i, j = np.triu_indices(s, 1)
             step = max(1, (1 << 20) // len(i))
             for a in range(0, len(at), step):
-                x, y = (num[(at[a:a + step, None] + k).ravel()] for k in (i, j))
-                x, y = np.minimum(x, y), np.maximum(x, y)
-                x, y = x[x < y], y[x < y]
+                one, other = ((at[a:a + step, None] + k).ravel() for k in (i, j))
                 if maps is not None:
-                    near = maps.value.near(x, y, threshold)
-                    x, y = x[near], y[near]
-                yield out(x, y, None)
+                    near = maps.value.near(place[one], place[other], threshold)
+                    one, other = one[near], other[near]
+                x, y = np.minimum(num[one], num[other]), np.maximum(num[one], num[other])
+                yield out(x[x < y], y[x < y], None)
 
     return run
 
@@ -261,7 +261,7 @@ def _classes(
     spark = records.sparkSession
     one = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"`{c}`").alias("items")) for i, c in enumerate(fields)])).alias("s")
     src = records.where(F.col(f"`{id}`").isNotNull()).select(F.col(f"`{id}`").alias("id"), one).select("id", "s.*")
-    src = src.where(F.size("items") >= max(1, least)).withColumn("items", F.array_sort("items"))
+    src = src.where(F.size("items") >= max(1, least)).withColumn("items", F.sort_array("items"))
     path = scratch(spark, "sets")
     # 128 bits name a set; rows are numbered as they are written
     named = src.withColumns({"num": F.monotonically_increasing_id(), "c1": F.xxhash64("items"), "c2": F.xxhash64(F.lit(7919), "items")})
@@ -301,7 +301,7 @@ def _classes(
 
 
 def similar_classes(
-    records: DataFrame, *, id: str, fields: tuple[str, ...], threshold: float, least: int = 1, bands: int = 16, rows: int = 2, crowded: int = 64,
+    records: DataFrame, *, id: str, fields: tuple[str, ...], threshold: float, least: int = 1, bands: int = 14, rows: int = 2, crowded: int = 256,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links) of the classes of equal sets.
 
@@ -321,7 +321,7 @@ def similar_classes(
 
 def similar_pairs(
     records: DataFrame, *, id: str, fields: tuple[str, ...], threshold: float, least: int = 1,
-    bands: int = 16, rows: int = 2, crowded: int = 64,
+    bands: int = 14, rows: int = 2, crowded: int = 256,
 ) -> DataFrame:
     """Pairs of records whose sets in a field have intersection / union >= threshold.
 

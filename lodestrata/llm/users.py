@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def id_set(array: Column) -> Column:
     """The array as a sorted set of ids without spaces around them; null and blank ids do not count."""
-    return F.array_sort(F.array_distinct(F.filter(F.transform(array, lambda x: F.trim(x)), lambda x: F.length(x) > 0)))
+    return F.sort_array(F.array_distinct(F.filter(F.transform(array, lambda x: F.trim(x)), lambda x: F.length(x) > 0)))
 
 
 def current_users(user_doc: DataFrame, fields: tuple[str, ...]) -> DataFrame:
