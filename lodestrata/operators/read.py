@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions.kv import has_prefix
 from lodestrata.operators.resolve import live_state
 from lodestrata.operators.skew import lookup_join
+from lodestrata.session import cut
 
 
 def get(log: DataFrame, key: str | bytes, now: int, **kw) -> DataFrame:
@@ -19,7 +20,7 @@ def get(log: DataFrame, key: str | bytes, now: int, **kw) -> DataFrame:
 
 def multi_get(log: DataFrame, keys: DataFrame, now: int, **kw) -> DataFrame:
     """Each distinct key of ``keys`` with its live entry's columns and ``status`` 'found' or 'not_found'."""
-    wanted = keys.select("key").where("key is not null").distinct()
+    wanted = cut(keys.select("key").where("key is not null").distinct())  # measured, joined and joined again
     part = lookup_join(log, wanted, "key", salt_on=["seq"])
     found = live_state(part, now, **kw)
     return wanted.join(found, "key", "left").withColumn("status", F.when(F.col("seq").isNotNull(), "found").otherwise("not_found"))

@@ -31,3 +31,24 @@ def test_live_changes(spark, tmp_path):
     for key, seq, value, status in seen:
         last[key] = (seq, value, status)
     assert last == {"a": (9, "a9", "live"), "b": (2, None, "expired"), "c": (6, None, "deleted"), "d": (10, "d10", "live")}
+
+
+def test_tombstones_are_forgotten_after_their_retention(spark, tmp_path):
+    def at(s):
+        return dt.datetime.fromtimestamp(s)
+
+    batches = [
+        [("a", 5, True, None, 0, at(1000)), ("b", 5, True, None, 0, at(1000))],
+        [("a", 4, False, "a4", 0, at(1010))],  # older than the delete
+        [("z", 1, False, "z", 0, at(5000))],  # past the retention of both
+        [("z", 2, False, "z", 0, at(5001))],
+        [("a", 4, False, "a4", 0, at(5002))],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"b{i}"))
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "b[0-9]"))
+    seen = []
+    q = live_changes(stream, "ts", "0 seconds", retention_seconds=600).writeStream.outputMode("update")
+    q = q.foreachBatch(lambda df, number: seen.extend(tuple(r) for r in df.collect())).option("checkpointLocation", str(tmp_path / "cp"))
+    q.trigger(availableNow=True).start().awaitTermination()
+    assert [r for r in seen if r[0] == "a"] == [("a", 5, None, "deleted"), ("a", 4, "a4", "live")]
