@@ -78,7 +78,7 @@ def kv_point_get(spark, folder):
     return read.get(log, first or "", NOW).select("key", "seq", "value", "expires_at")
 
 
-@query("select 'user:99999999' as key, 'not_found' as status")
+@query(f"with {_LIVE} select 'user:99999999' as key, case when exists (select 1 from live where key = 'user:99999999') then 'found' else 'not_found' end as status")
 def kv_point_get_miss(spark, folder):
     keys = spark.createDataFrame([("user:99999999",)], "key string")
     return read.multi_get(log_of(spark, folder), keys, NOW).select("key", "status")
