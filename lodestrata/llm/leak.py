@@ -44,6 +44,8 @@ BLOCK_WINDOWS = 1 << 20
 #: Readings of a text for ``reparameterised``, (names by capitals, values folded): names by the items' list; names by the text's own capitals;
 #: the same with each number (1,204.5) and each run of names (Ada Lovelace) as one token, so that values may differ in their number of words.
 READINGS = ((False, False), (True, False), (True, True))
+#: Texts of which so much of the words inside sentences have a capital give nouns one; a word behind an article is no name there.
+CAPITAL_SHARE, ARTICLE = 0.15, 3
 #: Words that stand for units (fixed values).
 UNITS = frozenset(
     "mm cm dm m km mg g kg t ml cl l s sec min h ms inch inches ft feet yard yards mile miles oz lb lbs pound pounds "
@@ -143,7 +145,7 @@ def _number(text: str) -> str:
     return _GROUPED.sub("", text).replace(",", ".")
 
 
-def _read(texts: list[str | None], window: int, names: frozenset, ordinary: frozenset):
+def _read(texts: list[str | None], window: int, names: frozenset, ordinary: frozenset, articles: frozenset):
     """For each of READINGS (number, tokens of a window by its start, owner of each window, its start, template hash, number of slots)."""
     per_text, code, distinct = expanded(texts, _LINED, tagged)
     n = len(code)
@@ -160,6 +162,12 @@ def _read(texts: list[str | None], window: int, names: frozenset, ordinary: froz
     listed = of((not s and w in names for s, w in zip(fixed, words, strict=True)), bool)
     capital = of((not s and m[2] == "1" for s, m in zip(fixed, marks, strict=True)), bool)
     common = of((w in ordinary for w in words), bool)
+    # where nouns have capitals (German), those behind an article are nouns
+    within = (link == int(_NONE)) & ~first
+    high = np.bincount(owner, capital & within, len(texts)) >= CAPITAL_SHARE * np.bincount(owner, within, len(texts))
+    article = of((w in articles and m[2] == "0" for w, m in zip(words, marks, strict=True)), bool)
+    noun = capital & high[owner] & within & np.r_[False, article[:-1]]
+    capital, listed = capital & ~noun, listed & ~noun
     # at the start of a sentence a capital alone says nothing: the items' ordinary words stay words there
     named = capital & ((link > 0) | ~common) | listed & ~common
     plain = of((xxhash.xxh3_64_intdigest(s or "w" + w) for s, w in zip(fixed, words, strict=True)), np.uint64)
@@ -198,14 +206,14 @@ def _look(window: int, names_bc, wanted_bc):
     """Windows of texts as ``_scan`` has them, of each reading, that hold an ordinary word and a slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (names, ordinary), wanted = names_bc.value, wanted_bc.value[0] if wanted_bc is not None else None
+        (names, ordinary, articles), wanted = names_bc.value, wanted_bc.value[0] if wanted_bc is not None else None
         if wanted is not None:
             sieve = np.zeros(1 << 22, bool)
             sieve[wanted >> _U(42)] = True
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
-                for reading, tokens, owner, start, hashes, n_slots in _read(texts[a:b], window, names, ordinary):
+                for reading, tokens, owner, start, hashes, n_slots in _read(texts[a:b], window, names, ordinary, articles):
                     hashes = hashes ^ _U(reading)
                     keep = np.flatnonzero((n_slots > 0) & (n_slots < window))
                     if wanted is not None:
@@ -238,7 +246,7 @@ def _scan(window: int, names_bc, wanted_bc):
         return total
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (names, _), wanted = names_bc.value, wanted_bc.value if wanted_bc is not None else None
+        (names, _, _), wanted = names_bc.value, wanted_bc.value if wanted_bc is not None else None
         if wanted is not None:
             templates, slots = wanted
             sieve = np.zeros(1 << 22, bool)  # first look: 22 bits of the hash
@@ -269,13 +277,17 @@ def _scan(window: int, names_bc, wanted_bc):
     return run
 
 
-def _names(items: DataFrame, text: str) -> tuple[frozenset, frozenset]:
-    """Of the items: words that only occur capitalised inside sentences (names), and words that occur without a capital (ordinary)."""
+def _names(items: DataFrame, text: str) -> tuple[frozenset, frozenset, frozenset]:
+    """Of the items: words that only occur capitalised inside sentences (names), words that occur without a capital (ordinary),
+    and words without a capital that stand before at least ARTICLE different words with one (articles and the like)."""
     inner = F.explode(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(r"(?<=[\p{Ll},;] )\p{L}+"), F.lit(0))).alias("w")
     small = F.explode(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(r"(?<![\p{L}\p{N}])\p{Ll}[\p{L}\p{N}]*"), F.lit(0))).alias("w")
+    couple = F.explode(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(r"(?<![\p{L}\p{N}])\p{Ll}+ (?=\p{Lu})\p{L}+"), F.lit(0))).alias("w")
     seen = items.select(inner).groupBy(F.lower("w").alias("w")).agg(F.min(F.col("w").rlike(r"^\p{Lu}")).alias("always"))
     names = frozenset(r[0] for r in seen.where("always").select("w").collect())
-    return names, frozenset(r[0] for r in items.select(small).select(F.lower("w")).distinct().collect())
+    before = items.select(couple).select(F.split("w", " ").alias("p")).groupBy(F.col("p")[0].alias("w")).agg(F.count_distinct(F.col("p")[1]).alias("n"))
+    articles = frozenset(r[0] for r in before.where(F.col("n") >= ARTICLE).select("w").collect())
+    return names, frozenset(r[0] for r in items.select(small).select(F.lower("w")).distinct().collect()), articles
 
 
 def _matches(docs: DataFrame, items: DataFrame, *, doc: str, item: str, text: str, window: int, scan=_scan) -> DataFrame:
@@ -330,8 +342,9 @@ def reparameterised(docs: DataFrame, items: DataFrame, *, doc: str, item: str, t
     A window of tokens counts if its template is the item's in one of the
     READINGS, it holds an ordinary word, some slot differs, and slots map one
     to one: equal values of the item to equal values of the document and back.
-    A name is a word with a capital inside a sentence; at a sentence's start,
-    where any word has one, a word that the items never write without it.  The
+    A name is a word with a capital inside a sentence, in texts that give nouns
+    capitals not behind an article; at a sentence's start, where any word has
+    one, a word that the items never write without it.  The
     items' own names count without a capital as well; other names in texts
     without capitals cannot be told from words.  ``n_windows`` counts distinct
     pairs of windows, of all readings.  Defined cases as for ``leaks``.

@@ -159,3 +159,15 @@ def test_reparameterised_matches_brute_force(spark):
                     if [slot(p) or p for p in v] == [slot(p) or p for p in w] and consistent(v, w) and not all(slot(p) for p in v):
                         want.add((d, i))
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) > 5
+
+
+def test_nouns_with_capitals_are_no_names(spark):
+    q = "Am Morgen zählt {} hinter dem {} zwölf kleine Münzen und bringt {} die {} bis der Markt wieder schließt"
+    more = "Der Hund sieht das Tor und der Baum trägt die Frucht, dem Kind gefällt das Lied und die Sonne wärmt den Garten hinter dem Zaun und dem Haus das Dach."
+    items = [(1, q.format("Natalia", "Haus", "Weng", "Kiste"), "b"), (2, more, "b")]
+    docs = [
+        (1, q.format("Oluwaseun", "Haus", "Björk", "Kiste"), ""),  # other names
+        (2, q.format("Natalia", "Turm", "Weng", "Schale"), ""),  # other nouns: another text
+    ]
+    got = leak.reparameterised(spark.createDataFrame(docs, DOC), spark.createDataFrame(items, ITEM), doc="doc_id", item="item_id", text="text").collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(1, 1)}
