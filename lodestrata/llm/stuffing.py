@@ -87,9 +87,8 @@ _ACCENTED, _LATIN = re.compile(r"[\xc0-\xff]"), re.compile(r"[A-Za-z]")
 _BLOB = re.compile(r"\S{40,}")
 _CYRILLIC = re.compile("[Ѐ-ӿ]")
 #: Frequent Russian letters (fixed values).
-_FREQUENT = re.compile("[оеаинт]")
+_FREQUENT = "оеаинт"
 _LOWER, _INNER_UPPER = re.compile("[а-яё]"), re.compile("(?<=[А-Яа-яЁё])[А-ЯЁ]")
-_WRONG = (("cp1252", _ACCENTED), ("cp1251", _CYRILLIC), ("latin-1", _ACCENTED))
 _WORD_K, _LINK_K, _BREAK_K, _SEP_K, _LOST_K, _FOOT_K = range(6)
 _U = np.uint64
 
@@ -124,20 +123,24 @@ def repaired(text: str) -> str:
     wide = len(_WIDE.findall(text))
     if wide < 8:
         return text
-    best = text
-    for name, letters in _WRONG:
-        if len(letters.findall(text)) < wide * 0.3:  # lead bytes of sequences would be such letters
+    best, accented = text, len(_ACCENTED.findall(text))
+    cyrillic = 0 if accented > 0.9 * wide else len(_CYRILLIC.findall(text))
+    usual = sum(map(text.count, _FREQUENT)) >= 0.2 * wide  # Cyrillic that reads as it should
+    for name, letters in (("cp1252", accented), ("cp1251", 0 if usual else cyrillic), ("latin-1", accented)):
+        if letters < wide * 0.3:  # lead bytes of sequences would be such letters
             continue
         again = text.encode(name, "lodestrata_byte").decode("utf-8", "replace")
         # right if nearly all wide characters were parts of sequences
         if len(again) < len(best) - wide * 0.3 and again.count("\ufffd") <= wide * 0.25:
             best = again
-    if best is text and len(_INNER_UPPER.findall(text)) > len(_LOWER.findall(text)):  # the two cases change places
+    if best is not text:
+        return best
+    if cyrillic and not usual and len(_INNER_UPPER.findall(text)) > len(_LOWER.findall(text)):  # the two cases change places
         both = (text.encode(a, "lodestrata_byte").decode(b, "replace") for a, b in (("cp1251", "koi8-r"), ("koi8-r", "cp1251")))
-        return max(both, key=lambda x: len(_FREQUENT.findall(x)))
-    if best is text and len(_ACCENTED.findall(text)) > 2 * len(_LATIN.findall(_BLOB.sub("", text))):
+        return max(both, key=lambda x: sum(map(x.count, _FREQUENT)))
+    if accented >= 0.3 * wide and accented > 2 * len(_LATIN.findall(_BLOB.sub("", text))):
         return text.encode("cp1252", "lodestrata_byte").decode("cp1251", "replace")
-    return best
+    return text
 
 
 def tokens_of(chunk: str) -> list[str]:
@@ -365,6 +368,14 @@ def _rows(kind: int, size: int, **columns) -> pa.RecordBatch:
     )
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs and how often each is there."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, np.int64)
+    return a[first], b[first], np.diff(np.r_[first, len(a)])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per slice: pages of each (language, host), pages on which a term comes back, at short irregular gaps too, pages that hold a piece."""
     for batch in batches:
@@ -393,9 +404,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, start = _piece_hashes(r)
             words = np.add.reduceat(r.weight, start)
             kept = (words > 0) & (words <= 2 * CHROME_WORDS)
-            once = np.unique(np.stack([r.owner[start[kept]].astype(np.uint64), hashes[kept]]), axis=1)
-            pieces, n = np.unique(np.stack([lang_of[a + once[0].astype(np.int64)].astype(np.uint64), once[1]]), axis=1, return_counts=True)
-            yield _rows(_PIECES, len(n), lang=spoken[pieces[0].astype(np.int64)], piece=pieces[1].view(np.int64), n=n)
+            page, piece, _ = _distinct(r.owner[start[kept]], hashes[kept])  # a page counts once
+            lang, piece, n = _distinct(lang_of[a + page], piece)
+            yield _rows(_PIECES, len(n), lang=spoken[lang], piece=piece.view(np.int64), n=n)
 
 
 def learn(docs: DataFrame, *, text: str, lang: str | None = None, host: str | None = None) -> Lexicon:
