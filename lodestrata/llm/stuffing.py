@@ -125,7 +125,7 @@ def repaired(text: str) -> str:
         return text
     best, accented = text, len(_ACCENTED.findall(text))
     cyrillic = 0 if accented > 0.9 * wide else len(_CYRILLIC.findall(text))
-    usual = sum(map(text.count, _FREQUENT)) >= 0.2 * wide  # Cyrillic that reads as it should
+    usual = cyrillic > 0.5 * wide and len(_LOWER.findall(text)) >= 0.7 * wide  # Cyrillic that reads as it should
     for name, letters in (("cp1252", accented), ("cp1251", 0 if usual else cyrillic), ("latin-1", accented)):
         if letters < wide * 0.3:  # lead bytes of sequences would be such letters
             continue
