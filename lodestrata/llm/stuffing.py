@@ -62,6 +62,8 @@ COPIES_SHARE, COPIES = 0.0002, 5
 LANGUAGE_SHARE = 0.01
 #: A sentence has at least so many words (characters of scripts without spaces: half as many) and so many carriers.
 SENTENCE_WORDS, SENTENCE_CARRIERS, CARRIER_DENSITY = 6, 2, 0.1
+#: Where nearly all characters were lost to a wrong charset, runs of them stand for words, and fewer make a sentence.
+LOST_WORDS = 2
 #: A footer, a line with a copyright sign, has at most so many words.
 FOOTER_WORDS = 12
 #: Pages with fewer words beside chrome are error pages or empty: no case.
@@ -334,7 +336,8 @@ def shares(texts: list[str | None], lexicon: Lexicon = Lexicon()) -> tuple[np.nd
     sentence = (words >= least) & (carried_by >= fewest) & (carried_by >= CARRIER_DENSITY * tokens) & calm
     # characters lost to a wrong charset: carriers cannot be told, the shape must do
     lost_in = per_segment(lost & counted)
-    sentence |= (words >= SENTENCE_WORDS) & (lost_in >= 0.3 * words) & (parted + linked == 0)
+    garbled = (words >= SENTENCE_WORDS) & (lost_in >= 0.3 * words) | (words >= LOST_WORDS) & (lost_in >= 0.8 * words)
+    sentence |= garbled & (parted + linked == 0)
 
     # nearest carrier of the same segment, before and after
     place = np.arange(len(kind))
